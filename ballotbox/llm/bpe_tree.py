@@ -42,7 +42,7 @@ def leaf(text: str, encoder: Encoder) -> Node:
     if len(parts) == 1:
         return Node(text, [], "", True, encoder.first[text], b"")
     later = encoder.later
-    return Node(parts[0], [later[x] for x in parts[1:-1]], " " + parts[-1], False, encoder.first[parts[0]], later[parts[-1]])
+    return Node(parts[0], list(map(later.__getitem__, parts[1:-1])), " " + parts[-1], False, encoder.first[parts[0]], later[parts[-1]])
 
 
 def join(a: Node, b: Node, encoder: Encoder) -> Node:

@@ -14,6 +14,7 @@ sequence ids are unique over partitions.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -26,48 +27,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import Kept, units
+from .units import Encoder, units
 
 SIZE = 2048
 BLOCK = 1 << 20
 CUT_SENTENCE, CUT_INSIDE = 1.5, 24.0
-#: A unit that ends a sentence: a stop, closing quotes or brackets, or a line end in or after it.
-SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$|\n")
+#: Where a unit ends a sentence: a stop and closing quotes or brackets before a space, or a line end (the unit that holds it).
+SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?= )|\n")
 SPECIAL = "<|endoftext|>"
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """bytes -> id of a byte-level BPE file whose ids are its merge order; None if the file is of another kind.
+
+    Encoding by lowest rank is then the same as by the file's merges.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+    # the usual printable stand-ins of bytes: printable ones stand for themselves, the others follow from 256 on
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    stand = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    try:
+        ranks = {bytes(stand[c] for c in t): i for t, i in vocab.items() if t != SPECIAL}
+        ordered = all(vocab["".join(m)] == 256 + i for i, m in enumerate(merges)) and sorted(vocab[c] for c in stand) == list(range(256))
+    except KeyError:
+        return None
+    return ranks if ordered and not model.get("ignore_merges") else None
+
+
 @lru_cache(2)
 def encoder(path: str):
-    """text -> (ids as bytes, token offsets of sentence ends), as the tokenizers library encodes it without adding special tokens."""
+    """text -> (ids as bytes, token offsets of sentence ends), as the tokenizers library encodes it without adding special tokens.
+
+    Units of Latin letters are encoded by merge rank where the file allows it (the same ids, ten times as fast); others, and all
+    units of other files, by the library.
+    """
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.no_padding()
     own.no_truncation()
+    ranks = merge_ranks(path)
+    quick = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def ids_of(text: str) -> list[int]:
-        return own.encode(text, add_special_tokens=False).ids
+        return quick(text) if quick and (text.isascii() or max(text) < "\u0250") else own.encode(text, add_special_tokens=False).ids
 
-    first = Kept(lambda u: _known(u, ids_of(u)))
-    later = Kept(lambda u: _known(u, ids_of(" " + u)))
+    return Sentences(Encoder(ids_of))
 
-    def encode(text: str) -> tuple[bytes, list[int]]:
+
+class Sentences:
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __call__(self, text: str) -> tuple[bytes, list[int]]:
         if not text:
             return b"", []
         parts = units(text)
-        got = [first[parts[0]], *map(later.__getitem__, parts[1:])]
-        data = b"".join([x[0] for x in got])
-        lengths = np.fromiter([x[1] for x in got], np.int64, len(got))
-        ends = np.cumsum(np.abs(lengths))
-        return data, ends[lengths < 0].tolist()
-
-    return encode
-
-
-def _known(unit: str, ids: list[int]) -> tuple[bytes, int]:
-    """Ids, and their number, negative if the unit ends a sentence."""
-    n = len(ids)
-    return np.asarray(ids, dtype="<u4").tobytes(), -n if SENTENCE_END.search(unit) else n
+        got = [self.encoder.first[parts[0]], *map(self.encoder.later.__getitem__, parts[1:])]
+        n = len(parts)
+        ends = np.fromiter([m.end() for m in SENTENCE_END.finditer(text)], np.int64)
+        # the unit in which a sentence ends, then the tokens up to that unit's end
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
+        at = np.unique(np.searchsorted(stops, ends))
+        tokens = np.cumsum(np.fromiter(map(len, got), np.int64, n)) // 4
+        return b"".join(got), tokens[at[at < n]].tolist()
 
 
 def cut(positions: list[int], penalties: list[float], size: int = SIZE) -> list[int]:

@@ -12,8 +12,8 @@ language with too few labelled texts uses the threshold of all.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from ._fit import THRESHOLD, at_threshold, cut_between, fold, sample
 BUCKETS, DIM, WIDTHS, PER_WIDTH = 1 << 18, 8, (1, 2, 3), 6
 PREFIXES = (3, 4, 5, 6, 7)
 FOLDS, HELD = 4, 2
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 #: Common function words by language, for the guess only.
 FUNCTION_WORDS = {
     "en": "the of and to in is that with for was",
@@ -34,46 +34,65 @@ FUNCTION_WORDS = {
     "es": "el los las del y en por para con una",
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
-_OUTER = re.compile(r"^\W+|\W+$")
+#: Punctuation stripped from both ends of a word.
+OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…–—"
 
 
 def _buckets(word: str) -> list[int]:
     """The word's bucket, then those of its prefixes; -1 for prefixes that are no shorter than the word."""
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return [h(word.encode()) % BUCKETS, *(h(f"{k}{word[:k]}".encode()) % BUCKETS if len(word) > k else -1 for k in PREFIXES)]
+    n, mask, h = len(word), BUCKETS - 1, 0
+    raw = word.encode("utf-32-le")
+    out, at = [crc32(raw, 1) & mask], 0
+    for k in PREFIXES:
+        if n <= k:
+            out += [-1] * (1 + len(PREFIXES) - len(out))
+            break
+        h = crc32(raw[at : 4 * k], h)
+        at = 4 * k
+        out.append(h & mask)
+    return out
 
 
 class Words(dict):
-    """raw word -> row in ``features`` and ``language``; row 0 is no word. The table grows by doubling; ``trim`` empties it
-    when ``KEPT_WORDS`` are in it."""
+    """raw word -> row in ``features`` and ``language``; row 0 is no word. New words wait in ``fresh`` until ``grown`` puts
+    them into the tables together; ``trim`` empties all when ``KEPT_WORDS`` are in it."""
 
-    def __init__(self, of, width: int, kind):
+    def __init__(self, of, none: np.ndarray):
         super().__init__()
-        self.of = of
+        self.of, self.none = of, none
         self.languages = {w: i for i, x in enumerate(FUNCTION_WORDS.values()) for w in x.split()}
-        self.features, self.language, self.n = np.zeros((1024, width), kind), np.full(1024, len(LANGUAGES) - 1), 1
+        self.reset()
+
+    def reset(self):
+        self.clear()
+        self.features, self.language = self.none[None], np.full(1, len(LANGUAGES) - 1)
+        self.fresh, self.kinds, self.n, self.done = [], [], 1, 1
 
     def trim(self):
         if self.n > KEPT_WORDS:
-            self.clear()
-            self.n = 1
+            self.reset()
 
     def __missing__(self, raw):
-        word = _OUTER.sub("", raw)
+        word = raw.strip(OUTER)
         if not word:
             self[raw] = 0
             return 0
         row = self[raw] = self.n
-        if row == len(self.features):
-            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-            self.language = np.concatenate([self.language, self.language])
-        self.features[row] = self.of(_buckets(word))
-        self.language[row] = self.languages.get(word, len(LANGUAGES) - 1)
+        self.fresh.append(_buckets(word))
+        self.kinds.append(self.languages.get(word, len(LANGUAGES) - 1))
         self.n += 1
         return row
 
+    def grown(self):
+        """Both tables with all words that were asked for; capacity doubles."""
+        if self.fresh:
+            while len(self.features) < self.n:
+                self.features, self.language = np.concatenate([self.features] * 2), np.concatenate([self.language] * 2)
+            self.features[self.done : self.n] = self.of(np.array(self.fresh))
+            self.language[self.done : self.n] = self.kinds
+            self.fresh, self.kinds, self.done = [], [], self.n
+        return self.features, self.language
+
 
 def guess(counts: np.ndarray) -> int:
     """The language with the most function words; "other" without any."""
@@ -92,11 +111,11 @@ class Network:
         self.b = np.zeros(1, np.float32)
         self.cuts = np.zeros(len(LANGUAGES))
 
-    def embed(self, buckets: list[int]) -> np.ndarray:
-        return self.e[[x for x in buckets if x >= 0]].sum(0)
+    def embed(self, buckets: np.ndarray) -> np.ndarray:
+        return (self.e[buckets] * (buckets >= 0)[:, :, None]).sum(1)
 
     def words(self) -> Words:
-        return Words(self.embed, DIM, np.float32)
+        return Words(self.embed, np.zeros(DIM, np.float32))
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Max-pooled filters over the words' embeddings ``x`` and the place of each maximum; zero words stand past both ends."""
@@ -135,13 +154,14 @@ class Network:
         for x, at in zip(group, starts.tolist(), strict=True):
             rows[at : at + len(x)] = x
             inside[at : at + max(1, len(x))] = True
-        x, n = words.features[rows], len(inside)
+        features, language = words.grown()
+        x, n = features[rows], len(inside)
         best = []
         for k in WIDTHS:
             z = sum(x[i : i + n] @ self.c[k][i] for i in range(k)) + self.d[k]
             z[~inside] = -np.inf
             best.append(np.maximum.reduceat(z, starts))
-        kinds = np.repeat(np.arange(len(group)), lengths) * len(LANGUAGES) + words.language[np.concatenate(group)] if lengths.sum() else np.zeros(0, np.int64)
+        kinds = np.repeat(np.arange(len(group)), lengths) * len(LANGUAGES) + language[np.concatenate(group)] if lengths.sum() else np.zeros(0, np.int64)
         counts = np.bincount(kinds, minlength=len(group) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
         return np.maximum(np.concatenate(best, 1), 0) @ self.w + self.b[0], np.array([guess(c) for c in counts])
 
@@ -154,10 +174,9 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, seed: int = 11) -> Net
     if len(set(y.tolist())) < 2:
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
-    words = Words(lambda b: b, 1 + len(PREFIXES), np.int64)
-    words.features[0] = -1
+    words = Words(lambda b: b, np.full(1 + len(PREFIXES), -1))
     rows = [np.fromiter(map(words.__getitem__, t.lower().split()), np.int64) for t in texts]
-    buckets = words.features
+    buckets, _ = words.grown()
     check = np.arange(len(y)) % 5 == 4
     if len(set(y[check].tolist())) < 2 or len(set(y[~check].tolist())) < 2:
         check[:] = False
