@@ -104,19 +104,31 @@ def _sketch(n: int, num: int, den: int):
     return run
 
 
-def _sets(n: int, num: int, den: int):
-    """Whole sets, and the neighbour pairs of their extended prefixes."""
+def _sets(n: int):
+    """Whole sets."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(x, n) for x in pdf["text"].tolist()]
-            pairs = []
-            for s in sets:
+            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+
+    return run
+
+
+def _pairs(n: int, num: int, den: int):
+    """The neighbour pairs of the extended prefixes."""
+    import xxhash
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            digests, pairs = [], []
+            for s in (shingles(x, n) for x in pdf["text"].tolist()):
                 x = s[: extended_size(len(s), num, den)]
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 with np.errstate(over="ignore"):
                     pairs.append(np.unique(_mix(x[:-1] * _MIX[0] + (x[1:] ^ (x[1:] >> np.uint64(31))) * _MIX[1])).view(np.int64))
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "tokens": [s.view(np.int64) for s in sets], "pairs": pairs})
+            yield pd.DataFrame({"digest": digests, "pairs": pairs})
 
     return run
 
@@ -129,51 +141,57 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     rows = stage(source.mapInPandas(_sketch(n, num, den), _SKETCH), "ngram-rows")
     classes = stage(rows.filter("n > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least_id")), "ngram-classes")
     bits = [f"b{i}" for i in range(_LONGS)]
-    attributes = rows.filter("n > 2").join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi")
+    nodes = rows.filter("n > 2").join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "node")
 
-    # single tokens
-    entries = attributes.select(F.explode("prefix").alias("key"), F.col("row_no").alias("node"))
+    # single tokens: only those that two nodes or more have in their prefixes leave the index's first step
+    entries = nodes.select(F.explode("prefix").alias("key"), "node")
     met = entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     index = stage(entries.join(met, "key"), "ngram-index")
-    involved = stage(index.select("node", (F.col("df") > frequent).alias("wide")).groupBy("node").agg(F.max("wide").alias("wide")), "ngram-involved")
-    involved_rows = stage(rows.select("row_no", "doc_id", "digest", "n", *bits).join(involved.withColumnRenamed("node", "row_no"), "row_no").withColumnRenamed("row_no", "node"), "ngram-nodes")
-
-    # whole sets of the documents that share a prefix token with another
-    wanted = involved_rows.select(F.col("doc_id").alias("__id")).distinct()
-    small = involved.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = texts.mapInPandas(_sets(n, num, den), "digest binary, tokens array<long>, pairs array<long>")
-    sets = stage(sets.join(involved_rows.select("digest", "node", "wide"), "digest").dropDuplicates(["node"]).select("node", "tokens", F.when(F.col("wide"), F.col("pairs")).alias("pairs")), "ngram-sets")
-
-    pairs = sets.filter("pairs is not null").select(F.explode("pairs").alias("key"), "node")
+    info = stage(nodes.select("node", "doc_id", "digest", "n", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+
+    def read_again(some: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over the texts of the nodes ``some(node)``, as (node, ...)."""
+        who = stage(info.select("node", "doc_id", "digest").join(some, "node", "left_semi"), "ngram-wanted")
+        ids = who.select(F.col("doc_id").alias("__id")).distinct()
+        small = who.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        texts = source.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        found = texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
+        # equal texts, and repeated ids, bring a node more than once
+        return found.dropDuplicates(["node"])
+
+    wide = index.filter(F.col("df") > frequent).select("node").distinct()
+    pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
     members = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(pairs), "ngram-members")
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    left, right = (involved_rows.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
+    left, right = (info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
 
     odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     able = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
     def linked(candidates: DataFrame) -> DataFrame:
-        """Of ``(a, b)`` pairs those that link, by their whole sets."""
+        """Of staged ``(a, b)`` pairs those that link, by their whole sets."""
+        some = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
         a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        both = candidates.join(left, "a").join(right, "b").filter(able).select("a", "b").join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ta", "tb")))
+        both = candidates.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ta", "tb")))
         return both.filter(F.col("same") * den >= (F.size("ta") + F.size("tb") - F.col("same")) * num).select("a", "b")
 
     stars = members.join(pivots, "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stage(linked(stars), "ngram-links")
+    first = stage(stars.join(left, "a").join(right, "b").filter(able).select("a", "b"), "ngram-stars")
+    links = stage(linked(first), "ngram-links")
     labels = components(links)
 
-    # groups that still hold several components
+    # groups that still hold several components: those outside the main one meet the others
     placed = stage(members.join(pivots, "key").join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("key", F.col("top.comp").alias("main"))
+    main = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1 and size > 2").select("key", F.col("top.comp").alias("main"))
     open_ = placed.join(main, "key")
     one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("pivot").alias("p")).join(left, "a")
     two = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main").join(right, "b")
     crossing = one.join(two, (one["key"] == two["key"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("p")) & (F.col("b") != F.col("p")) & able)
-    more = stage(linked(crossing.select("a", "b").distinct()), "ngram-more")
-    labels = components(links.unionByName(more))
+    more = stage(linked(stage(crossing.select("a", "b").distinct(), "ngram-crossing")), "ngram-more")
+    labels = components(links.unionByName(more)) if not more.isEmpty() else labels
 
     named = classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
