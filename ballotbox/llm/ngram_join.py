@@ -12,7 +12,7 @@ emits pairs exactly if its prefix has a frequent token, and both documents of a
 
 Groups of one key are never expanded into all pairs. Each member meets the group's least node; what links there
 becomes one component. Only members that stay outside the group's main component then meet the
-other components' members, if size and a parity bitmap (a proven lower bound of the
+other components' members, if size, a parity bitmap and the prefixes (proven lower bounds of the
 symmetric difference) allow a link. Every candidate is verified on the whole sets, so the components are
 exactly those of the link graph.
 
@@ -69,6 +69,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         return np.unique(_mix(acc))
 
 
+def signed(tokens: np.ndarray) -> np.ndarray:
+    """As signed integers in the same order."""
+    return (tokens ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
@@ -97,7 +102,7 @@ def _sketch(n: int, num: int, den: int):
                 s = shingles(text, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefixes.append(s[: prefix_size(len(s), num, den)].view(np.int64))
+                prefixes.append(signed(s[: prefix_size(len(s), num, den)]))
                 bits[i] = parity(s)
             yield pd.DataFrame({"row_no": [next(numbers) for _ in ids], "doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "digest": digests, "prefix": prefixes} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
 
@@ -105,27 +110,38 @@ def _sketch(n: int, num: int, den: int):
 
 
 def _sets(n: int):
-    """Whole sets."""
+    """Whole sets, each once a task."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for pdf in batches:
-            sets = [shingles(x, n) for x in pdf["text"].tolist()]
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+            digests, sets = [], []
+            for s in (shingles(x, n) for x in pdf["text"].tolist()):
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                if d not in seen:
+                    seen.add(d)
+                    digests.append(d)
+                    sets.append(signed(s))
+            yield pd.DataFrame({"digest": digests, "tokens": sets})
 
     return run
 
 
 def _pairs(n: int, num: int, den: int):
-    """The neighbour pairs of the extended prefixes."""
+    """The neighbour pairs of the extended prefixes, each document's once a task."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for pdf in batches:
             digests, pairs = [], []
             for s in (shingles(x, n) for x in pdf["text"].tolist()):
-                x = s[: extended_size(len(s), num, den)]
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                x, d = s[: extended_size(len(s), num, den)], xxhash.xxh3_128_digest(s.tobytes())
+                if d in seen:
+                    continue
+                seen.add(d)
+                digests.append(d)
                 with np.errstate(over="ignore"):
                     pairs.append(np.unique(_mix(x[:-1] * _MIX[0] + (x[1:] ^ (x[1:] >> np.uint64(31))) * _MIX[1])).view(np.int64))
             yield pd.DataFrame({"digest": digests, "pairs": pairs})
@@ -155,9 +171,8 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         ids = who.select(F.col("doc_id").alias("__id")).distinct()
         small = who.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
         texts = source.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        found = texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
-        # equal texts, and repeated ids, bring a node more than once
-        return found.dropDuplicates(["node"])
+        # repeated ids may bring a node from several tasks: what follows takes distinct keys and pairs
+        return texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
 
     wide = index.filter(F.col("df") > frequent).select("node").distinct()
     pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
@@ -168,6 +183,16 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     able = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
+    def near(candidates: DataFrame) -> DataFrame:
+        """Of ``(a, b)`` pairs those whose prefixes allow a link: up to the lesser of the two prefixes' last tokens, both sets are known
+        in full, so what differs there bounds the symmetric difference from below."""
+        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in "ab")
+        upto = F.least(F.element_at("p_a", -1), F.element_at("p_b", -1))
+        both = candidates.join(a, "a").join(b, "b").withColumn("upto", upto)
+        inside = sum((F.size(F.filter(p, lambda x: x <= F.col("upto"))) for p in ("p_a", "p_b")), F.lit(0))
+        differ = inside - 2 * F.size(F.array_intersect("p_a", "p_b"))
+        return both.filter(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+
     def linked(candidates: DataFrame) -> DataFrame:
         """Of staged ``(a, b)`` pairs those that link, by their whole sets."""
         some = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -175,10 +200,10 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
         both = candidates.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ta", "tb")))
-        return both.filter(F.col("same") * den >= (F.size("ta") + F.size("tb") - F.col("same")) * num).select("a", "b")
+        return both.filter(F.col("same") * den >= (F.size("ta") + F.size("tb") - F.col("same")) * num).select("a", "b").distinct()
 
     stars = members.join(pivots, "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = stage(stars.join(left, "a").join(right, "b").filter(able).select("a", "b"), "ngram-stars")
+    first = stage(near(stars.join(left, "a").join(right, "b").filter(able).select("a", "b")), "ngram-stars")
     links = stage(linked(first), "ngram-links")
     labels = components(links)
 
@@ -190,7 +215,7 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("pivot").alias("p")).join(left, "a")
     two = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main").join(right, "b")
     crossing = one.join(two, (one["key"] == two["key"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("p")) & (F.col("b") != F.col("p")) & able)
-    more = stage(linked(stage(crossing.select("a", "b").distinct(), "ngram-crossing")), "ngram-more")
+    more = stage(linked(stage(near(crossing.select("a", "b").distinct()), "ngram-crossing")), "ngram-more")
     labels = components(links.unionByName(more)) if not more.isEmpty() else labels
 
     named = classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
