@@ -21,6 +21,9 @@ def seeds(boxes: Column, kind: str, threshold: float, clamp: bool = True) -> Col
 
 def clustered(det: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_id",), order: tuple[str, ...] = ("engine_rank", "det_ix"), clamp: bool = True) -> DataFrame:
     """``det`` with ``pos`` (rank by score, then ``order``) and ``seed`` (the ``pos`` of the seed), all columns kept."""
+    # maps can't stand in a sorted array: they travel as their entries
+    maps = [c for c, kind in det.dtypes if kind.startswith("map<")]
+    det = det.withColumns({c: F.map_entries(c) for c in maps}) if maps else det
     rest = [c for c in det.columns if c not in keys]
     item = F.struct((-F.col("score")).alias("__s"), *[F.col(c).alias(f"__{c}") for c in order], *[F.col(c).cast("double").alias(c) if c in BOX else F.col(c) for c in rest])
     grouped = det.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
@@ -31,7 +34,7 @@ def clustered(det: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_
     rows = found.select(*keys, "seeds", F.posexplode("all").alias("pos", "row"))
     own = F.struct(F.col("pos"), *[F.col(f"row.{c}").alias(c) for c in BOX])
     seed = F.element_at(F.filter("seeds", lambda o: (o["pos"] == F.col("pos")) | (iou(o, own, clamp) >= threshold)), 1)["pos"]
-    return rows.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest], "pos", seed.alias("seed"))
+    return rows.select(*keys, *[(F.map_from_entries(f"row.{c}") if c in maps else F.col(f"row.{c}")).alias(c) for c in rest], "pos", seed.alias("seed"))
 
 
 def suppressed(det: DataFrame, threshold: float, keys: tuple[str, ...], order: tuple[str, ...] = ("det_ix",)) -> DataFrame:

@@ -35,7 +35,7 @@ def merge(det: DataFrame, min_votes: int = 2, iou_threshold: float = IOU) -> Dat
     """One row per cluster with votes of at least ``min_votes`` different engines."""
     if "polygon" not in det.columns:
         det = det.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
-    rows = clustered(det, iou_threshold)
+    rows = clustered(det.select("image_id", "engine", "engine_rank", "det_ix", "x1", "y1", "x2", "y2", "score", "symbology", "payload", "polygon"), iou_threshold)
     key = W.partitionBy("image_id", "seed")
     by = lambda c: W.partitionBy("image_id", "seed", c)
     # votes of each value stand beside the rows (same partitioning, no further shuffle), ties break by a struct
