@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import stage
 
-K, S, SKETCH = 12, 5, 96
+K, S, SKETCH = 12, 5, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -175,7 +175,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, seed: int = 11) -> Net
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
     words = Words(lambda b: b, np.full(1 + len(PREFIXES), -1))
-    rows = [np.fromiter(map(words.__getitem__, t.lower().split()), np.int64) for t in texts]
+    rows = []
+    for t in texts:
+        rows.append(np.fromiter(map(words.__getitem__, t.lower().split()), np.int64))
+        if len(words.fresh) > 20_000:
+            words.grown()
     buckets, _ = words.grown()
     check = np.arange(len(y)) % 5 == 4
     if len(set(y[check].tolist())) < 2 or len(set(y[~check].tolist())) < 2:
@@ -240,7 +244,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, seed: int = 11) -> Net
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
-    rows = sample(docs, labels, "toxic", FOLDS, HELD, per_class=2500)
+    rows = sample(docs, labels, "toxic", FOLDS, HELD, per_class=2000)
     return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64))
 
 
