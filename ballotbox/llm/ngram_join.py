@@ -176,8 +176,9 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
 
     wide = index.filter(F.col("df") > frequent).select("node").distinct()
     pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
-    members = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(pairs), "ngram-members")
-    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    every = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(pairs), "ngram-keys")
+    pivots = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", "pivot")
+    members = stage(every.join(pivots, "key"), "ngram-members")
     left, right = (info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
 
     odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
@@ -202,13 +203,13 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         both = candidates.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ta", "tb")))
         return both.filter(F.col("same") * den >= (F.size("ta") + F.size("tb") - F.col("same")) * num).select("a", "b").distinct()
 
-    stars = members.join(pivots, "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = stage(near(stars.join(left, "a").join(right, "b").filter(able).select("a", "b")), "ngram-stars")
     links = stage(linked(first), "ngram-links")
     labels = components(links)
 
     # groups that still hold several components: those outside the main one meet the others
-    placed = stage(members.join(pivots, "key").join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
+    placed = stage(members.join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     main = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1 and size > 2").select("key", F.col("top.comp").alias("main"))
     open_ = placed.join(main, "key")
