@@ -1,7 +1,9 @@
 import struct
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ballotbox import errors
@@ -9,6 +11,9 @@ from ballotbox.plans import scanner as S
 from ballotbox.sources import images as I
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
+
+
 class Fixed:
     def __init__(self, name, found):
         self.name, self.found = name, found
