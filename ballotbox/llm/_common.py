@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Bound for a broadcast list of 64-bit keys: 2,000,000 x 8 bytes, some 60 MB as a hashed relation.
 BROADCAST_KEYS = 2_000_000
 
+#: Makes a SQL execution delete its own shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -22,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, so an executor lost later costs no recomputation."""
+    """Write ``df`` into the shared folder and read it back: lineage ends there, so an executor lost later costs no recomputation.
+
+    The write's shuffle files have no reader after it, so they are deleted at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     schema = df.schema
     return spark.read.schema(schema).parquet(path)
 
