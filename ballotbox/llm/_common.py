@@ -38,7 +38,22 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the table of a DataFrame from :func:`stage`. Only for one that nothing still to be run reads."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` joined with staged ``keys(key long, ...)``: broadcast up to ``limit`` keys, beyond that both sides are shuffled."""
+    small = keys.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(keys) if small else keys, "key")
 
 
 def keep_matching(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_KEYS, components, number_rows, stage
+from ._common import BROADCAST_KEYS, components, discard, join_keys, number_rows, stage
 
 FREQUENT = 64
 BITMAP = 512
@@ -161,8 +161,9 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
 
     # single tokens: only those that two nodes or more have in their prefixes leave the index's first step
     entries = nodes.select(F.explode("prefix").alias("key"), "node")
-    met = entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    index = stage(entries.join(met, "key"), "ngram-index")
+    met = stage(entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-met")
+    index = stage(join_keys(entries, met), "ngram-index")
+    discard(met)
     info = stage(nodes.select("node", "doc_id", "digest", "n", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
 
     def read_again(some: DataFrame, run, schema: str) -> DataFrame:
@@ -175,10 +176,15 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         return texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
 
     wide = index.filter(F.col("df") > frequent).select("node").distinct()
-    pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
-    every = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(pairs), "ngram-keys")
+    pairs = stage(read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node"), "ngram-pairs")
+    # counted by key alone; most pairs have one document and leave here without a second shuffle
+    met = stage(pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1").select("key"), "ngram-met")
+    every = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(join_keys(pairs, met).select("key", "node")), "ngram-keys")
+    for done in (pairs, met, index):
+        discard(done)
     pivots = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", "pivot")
     members = stage(every.join(pivots, "key"), "ngram-members")
+    discard(every)
     left, right = (info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
 
     odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
