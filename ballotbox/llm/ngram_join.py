@@ -12,7 +12,7 @@ emits pairs exactly if its prefix has a frequent token, and both documents of a
 
 Groups of one key are never expanded into all pairs. Each member meets the group's least node; what links there
 becomes one component. Only members that stay outside the group's main component then meet the
-other components' members, if size, a parity bitmap and the prefixes (proven lower bounds of the
+other components' members, if size and parity bitmaps (proven lower bounds of the
 symmetric difference) allow a link. Every candidate is verified on the whole sets, so the components are
 exactly those of the link graph.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_KEYS, components, discard, join_keys, number_rows, stage
@@ -82,12 +82,13 @@ def extended_size(n: int, num: int, den: int) -> int:
     return min(n, 2 * (n * (den - num) // num) + 2)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+def parity(tokens: np.ndarray, size: int = BITMAP) -> np.ndarray:
+    """``size`` bits, a power of two: whether an odd number of tokens falls on each. A map of half the size is the XOR of its halves."""
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-_SKETCH = "row_no long, doc_id long, n long, digest binary, prefix array<long>, " + ", ".join(f"b{i} long" for i in range(_LONGS))
+_SKETCH = "row_no long, doc_id long, n long, digest binary, prefix array<long>, map array<long>, " + ", ".join(f"b{i} long" for i in range(_LONGS))
 
 
 def _sketch(n: int, num: int, den: int):
@@ -97,14 +98,15 @@ def _sketch(n: int, num: int, den: int):
         numbers = number_rows(TaskContext.get().partitionId())
         for pdf in batches:
             ids = [None if x is None or x != x else int(x) for x in pdf["doc_id"].tolist()]
-            sizes, digests, prefixes, bits = [], [], [], np.zeros((len(ids), _LONGS), np.int64)
+            sizes, digests, prefixes, maps, bits = [], [], [], [], np.zeros((len(ids), _LONGS), np.int64)
             for i, text in enumerate(pdf["text"].tolist()):
                 s = shingles(text, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefixes.append(signed(s[: prefix_size(len(s), num, den)]))
                 bits[i] = parity(s)
-            yield pd.DataFrame({"row_no": [next(numbers) for _ in ids], "doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "digest": digests, "prefix": prefixes} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
+                maps.append(parity(s, max(BITMAP, 1 << len(s).bit_length())))
+            yield pd.DataFrame({"row_no": [next(numbers) for _ in ids], "doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "digest": digests, "prefix": prefixes, "map": maps} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
 
     return run
 
@@ -164,7 +166,7 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     met = stage(entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-met")
     index = stage(join_keys(entries, met), "ngram-index")
     discard(met)
-    info = stage(nodes.select("node", "doc_id", "digest", "n", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    info = stage(nodes.select("node", "doc_id", "digest", "n", "map", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
 
     def read_again(some: DataFrame, run, schema: str) -> DataFrame:
         """``run`` over the texts of the nodes ``some(node)``, as (node, ...)."""
@@ -190,27 +192,37 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     able = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
+    def both_sides(candidates: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        """Staged ``(a, b)`` pairs with ``col`` of both nodes as a_col and b_col. Up to a bounded number of pairs, only the a side's
+        rows of these pairs and the b side are shuffled, on b, where AQE may split a frequent node."""
+        small = candidates.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        some = candidates.select("b").distinct()
+        a, b = (table.select(F.col("node").alias(x), F.col(col).alias(f"{x}_{col}")) for x in "ab")
+        return a.join(F.broadcast(candidates) if small else candidates, "a").join(b.join(F.broadcast(some) if small else some, "b", "left_semi").hint("merge"), "b")
+
     def near(candidates: DataFrame) -> DataFrame:
-        """Of ``(a, b)`` pairs those whose prefixes allow a link: up to the lesser of the two prefixes' last tokens, both sets are known
-        in full, so what differs there bounds the symmetric difference from below."""
-        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in "ab")
-        upto = F.least(F.element_at("p_a", -1), F.element_at("p_b", -1))
-        both = candidates.join(a, "a").join(b, "b").withColumn("upto", upto)
-        inside = sum((F.size(F.filter(p, lambda x: x <= F.col("upto"))) for p in ("p_a", "p_b")), F.lit(0))
-        differ = inside - 2 * F.size(F.array_intersect("p_a", "p_b"))
-        return both.filter(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+        """Of staged ``(a, b)`` pairs those whose parity maps allow a link. A map has a bit for each token or more; of two sizes the larger is
+        folded. Each odd bit of the XOR holds a token that one set lacks, so their number bounds the symmetric difference from below."""
+        both = both_sides(candidates, info.select("node", F.struct("n", "map").alias("of")), "of")
+        least = F.least(F.size("a_of.map"), F.size("b_of.map"))
+
+        def folded(x: str) -> Column:
+            return F.when(F.size(x) == least, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q)))
+
+        differ = F.aggregate(F.zip_with(folded("a_of.map"), folded("b_of.map"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+        comparable = F.greatest(F.size("a_of.map"), F.size("b_of.map")) <= 2 * least  # sizes that allow a link differ by one step at most
+        return both.filter(comparable & (differ * (den + num) <= (F.col("a_of.n") + F.col("b_of.n")) * (den - num))).select("a", "b")
 
     def linked(candidates: DataFrame) -> DataFrame:
-        """Of staged ``(a, b)`` pairs those that link, by their whole sets."""
+        """Of staged ``(a, b)`` pairs those that link, by their whole sets; a pair may come repeatedly."""
         some = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
-        a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        both = candidates.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ta", "tb")))
-        return both.filter(F.col("same") * den >= (F.size("ta") + F.size("tb") - F.col("same")) * num).select("a", "b").distinct()
+        both = both_sides(candidates, sets, "tokens").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
+        return both.filter(F.col("same") * den >= (F.size("a_tokens") + F.size("b_tokens") - F.col("same")) * num).select("a", "b")
 
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = stage(near(stars.join(left, "a").join(right, "b").filter(able).select("a", "b")), "ngram-stars")
+    met = stage(stars.join(left, "a").join(right, "b").filter(able).select("a", "b"), "ngram-met")
+    first = stage(near(met), "ngram-stars")
     links = stage(linked(first), "ngram-links")
     labels = components(links)
 
@@ -222,7 +234,8 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("pivot").alias("p")).join(left, "a")
     two = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main").join(right, "b")
     crossing = one.join(two, (one["key"] == two["key"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("p")) & (F.col("b") != F.col("p")) & able)
-    more = stage(linked(stage(near(crossing.select("a", "b").distinct()), "ngram-crossing")), "ngram-more")
+    met = stage(crossing.select("a", "b").distinct(), "ngram-met")
+    more = stage(linked(stage(near(met), "ngram-crossing")), "ngram-more")
     labels = components(links.unionByName(more)) if not more.isEmpty() else labels
 
     named = classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
