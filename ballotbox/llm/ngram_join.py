@@ -156,10 +156,11 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     if 5 * num < 4 * den:
         raise ValueError("the prefixes are proven for a similarity of 0.8 or more")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(source.mapInPandas(_sketch(n, num, den), _SKETCH), "ngram-rows")
+    sketches = stage(source.mapInPandas(_sketch(n, num, den), _SKETCH), "ngram-sketches")
+    rows = stage(sketches.select("row_no", "doc_id", "n", "digest"), "ngram-rows")
     classes = stage(rows.filter("n > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least_id")), "ngram-classes")
     bits = [f"b{i}" for i in range(_LONGS)]
-    nodes = rows.filter("n > 2").join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "node")
+    nodes = sketches.filter("n > 2").join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "node")
 
     # single tokens: only those that two nodes or more have in their prefixes leave the index's first step
     entries = nodes.select(F.explode("prefix").alias("key"), "node")
@@ -167,6 +168,7 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     index = stage(join_keys(entries, met), "ngram-index")
     discard(met)
     info = stage(nodes.select("node", "doc_id", "digest", "n", "map", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    discard(sketches)
 
     def read_again(some: DataFrame, run, schema: str) -> DataFrame:
         """``run`` over the texts of the nodes ``some(node)``, as (node, ...)."""
@@ -178,11 +180,11 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         return texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
 
     wide = index.filter(F.col("df") > frequent).select("node").distinct()
-    pairs = stage(read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node"), "ngram-pairs")
-    # counted by key alone; most pairs have one document and leave here without a second shuffle
+    pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
+    # counted by key alone, then made again: most pairs have one document, so writing all of them would cost more than the texts
     met = stage(pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1").select("key"), "ngram-met")
     every = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(join_keys(pairs, met).select("key", "node")), "ngram-keys")
-    for done in (pairs, met, index):
+    for done in (met, index):
         discard(done)
     pivots = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", "pivot")
     members = stage(every.join(pivots, "key"), "ngram-members")
@@ -214,16 +216,18 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         return both.filter(comparable & (differ * (den + num) <= (F.col("a_of.n") + F.col("b_of.n")) * (den - num))).select("a", "b")
 
     def linked(candidates: DataFrame) -> DataFrame:
-        """Of staged ``(a, b)`` pairs those that link, by their whole sets; a pair may come repeatedly."""
+        """Of staged ``(a, b)`` pairs those that link, by their whole sets, staged; a pair may come repeatedly."""
         some = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
         both = both_sides(candidates, sets, "tokens").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
-        return both.filter(F.col("same") * den >= (F.size("a_tokens") + F.size("b_tokens") - F.col("same")) * num).select("a", "b")
+        out = stage(both.filter(F.col("same") * den >= (F.size("a_tokens") + F.size("b_tokens") - F.col("same")) * num).select("a", "b"), "ngram-links")
+        discard(sets)
+        return out
 
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     met = stage(stars.join(left, "a").join(right, "b").filter(able).select("a", "b"), "ngram-met")
     first = stage(near(met), "ngram-stars")
-    links = stage(linked(first), "ngram-links")
+    links = linked(first)
     labels = components(links)
 
     # groups that still hold several components: those outside the main one meet the others
@@ -235,7 +239,7 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     two = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main").join(right, "b")
     crossing = one.join(two, (one["key"] == two["key"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("p")) & (F.col("b") != F.col("p")) & able)
     met = stage(crossing.select("a", "b").distinct(), "ngram-met")
-    more = stage(linked(stage(near(met), "ngram-crossing")), "ngram-more")
+    more = linked(stage(near(met), "ngram-crossing"))
     labels = components(links.unionByName(more)) if not more.isEmpty() else labels
 
     named = classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
