@@ -37,7 +37,7 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

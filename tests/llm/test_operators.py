@@ -327,6 +327,52 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def brute_words(rows, least):
+    """Every run of ``least`` words in order; the words of later ones equal to an earlier one go, unless they overlap it in their own row."""
+    first, gone = {}, defaultdict(set)
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
+        words = (rows[k][1] or "").encode().split()
+        for i in range(len(words) - least + 1):
+            a, at = first.setdefault(tuple(words[i : i + least]), (k, i))
+            if a != k or i >= at + least:
+                gone[k].update(range(i, i + least))
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 5, 10])
+def test_passage_dedup(spark, empty, least):
+    r = random.Random(least)
+    pool = [" ".join(r.choice(VOCAB) for _ in range(r.randrange(8, 40))) for _ in range(6)]
+    rows = [(r.choice([i, i, i // 2, None]), "".join(r.choice([r.choice(pool), f"own {i} {k}", r.choice(VOCAB[:2])]) + r.choice([" ", " ", "  ", "\n", "\n\n"]) for k in range(r.randrange(0, 12)))) for i in range(60)]
+    rows += [(200, None), (201, ""), (202, "same " * 70), (203, "x " + "a b c d e f g " * 9 + "\ny"), (204, pool[0]), (205, "one " + pool[0] + " two"), (204, pool[0])]
+    df = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key string").coalesce(1)
+    got = [x for x in line_dedup.dedup_passages(df, least=least).collect()]
+    gone, want = brute_words(rows, least), []
+    for k, (i, t) in enumerate(rows):
+        at, removed, kept = 0, [], []
+        for n, line in enumerate((t or "").split("\n")):
+            words = line.split()
+            left = [w for j, w in enumerate(words) if at + j not in gone[k]]
+            at += len(words)
+            if words and not left:
+                removed.append(n)
+            else:
+                kept.append(" ".join(left))
+        want.append((i, len((t or "").split("\n")), len(removed), ",".join(map(str, removed)), None if t is None else "\n".join(kept), len(gone[k])))
+    made = [(x.doc_id, x.n_lines, x.n_removed, x.removed, None if x.text is None else "\n".join(" ".join(y.split()) for y in x.text.split("\n")), x.n_words_removed) for x in got]
+    assert sorted(map(repr, made)) == sorted(map(repr, want))
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
+def test_line_dedup_query_cuts_inside_lines(spark, tmp_path):
+    from ballotbox.llm.queries import op6_line_dedup
+
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, passage), (2, f"before {passage} after"), (3, f"before {passage[4:]} after")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.text for x in op6_line_dedup(spark, str(tmp_path)).collect()} == {1: passage, 2: "before after", 3: rows[2][1]}
+
+
 @pytest.mark.parametrize(("module", "label", "folds", "held"), [(quality, "quality", 5, 0), (toxicity, "toxic", 4, 2)])
 def test_classifiers_on_held_out_rows(spark, empty, module, label, folds, held):
     sf = "/root/testdata/sf0.01"
