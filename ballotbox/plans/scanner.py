@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineMissing
-from ..functions.geometry import downscaled, rescaled_polygon
+from ..functions.geometry import BOX, downscaled, rescaled_polygon
 from ..operators.consensus import IOU, fan_out, merge
 from ..schema import DETECTIONS, ENGINES
+from ..sources.images import preprocessed
 
 
 @runtime_checkable
@@ -60,9 +61,28 @@ def check_subset(engines) -> tuple[str, ...]:
     return tuple(engines)
 
 
-def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None) -> DataFrame:
+def in_original(found: dict, sx: float, sy: float) -> dict:
+    """A detection made on a downscaled image, in the original's pixels."""
+    moved = {c: found[c] * (sx if c[0] == "x" else sy) for c in BOX}
+    if found.get("polygon") is not None:
+        points = [(p["x"], p["y"]) if isinstance(p, dict) else p for p in found["polygon"]]
+        moved["polygon"] = [{"x": x * sx, "y": y * sy} for x, y in points]
+    return found | moved
+
+
+def attempt(engine: Engine, content: bytes, preprocess: str) -> list[dict]:
+    """One engine's detections on one image, in the pixels of the image as it was given."""
+    if preprocess == "off":
+        return engine.detect_and_decode(content)
+    content, sx, sy = preprocessed(content)
+    found = engine.detect_and_decode(content)
+    return found if sx == sy == 1 else [in_original(d, sx, sy) for d in found]
+
+
+def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None, preprocess: str = "off") -> DataFrame:
     """Detections of one engine over ``images(image_id, content)``. An image on which the engine raises gives no rows, so one engine never
-    fails the others; ``detect_errors`` tells why."""
+    fails the others; ``detect_errors`` tells why. With ``preprocess`` 'auto' the engine gets each image downscaled and
+    autocontrasted; images other than PPM and PGM then give no rows."""
     make = factory or REGISTRY[name]
     columns = [x.split()[0] for x in DETECTIONS.split(", ")]
 
@@ -72,7 +92,7 @@ def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None =
             rows = []
             for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
                 try:
-                    found = engine.detect_and_decode(content)
+                    found = attempt(engine, content, preprocess)
                 except Exception:  # noqa: BLE001  an engine may raise anything; its contribution is then empty
                     found = []
                 rows += [{"image_id": image_id, "engine": name, "det_ix": i, "engine_rank": 0, "polygon": None, "extras": {}, "payload": None, "score": 1.0} | d for i, d in enumerate(found)]
@@ -127,7 +147,7 @@ class Scanner:
 
     def scan(self, images: DataFrame) -> DataFrame:
         """Run the engines over ``images(image_id, width, height, content)``."""
-        return self.scan_detections({e: detect(images, e) for e in self.engines}, images.select("image_id", "width", "height"))
+        return self.scan_detections({e: detect(images, e, preprocess=self.preprocess) for e in self.engines}, images.select("image_id", "width", "height"))
 
 
 def rescaled(det: DataFrame, images: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidImage
+from ..functions.geometry import LONGEST
+
 #: Leading bytes (hex) of the formats on the allow list; WEBP and HEIF carry theirs at byte 8 and 4.
 MAGIC = {"jpeg": ["FFD8FF"], "png": ["89504E470D0A1A0A"], "gif": ["474946383761", "474946383961"], "bmp": ["424D"], "tiff": ["49492A00", "4D4D002A"], "ico": ["00000100"], "ppm": ["5033", "5036"]}
 
@@ -64,6 +67,8 @@ def parse_ppm(content: bytes) -> np.ndarray:
     """Binary PPM/PGM to RGB rows."""
     fields, at = [], 0
     while len(fields) < 4:
+        if at >= len(content):
+            raise InvalidImage("a header that is cut short")
         while content[at : at + 1].isspace():
             at += 1
         if content[at : at + 1] == b"#":
@@ -71,6 +76,8 @@ def parse_ppm(content: bytes) -> np.ndarray:
             continue
         end = at
         while not content[end : end + 1].isspace():
+            if end >= len(content):
+                raise InvalidImage("a header that is cut short")
             end += 1
         fields.append(content[at:end])
         at = end
@@ -108,6 +115,47 @@ def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+def shrunk(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Lanczos filter of three lobes over source pixels, columns first, 8 bits after each pass."""
+
+    def taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        scale = n / m
+        wide = max(scale, 1.0)
+        centre = (np.arange(m) + 0.5) * scale
+        first = np.maximum(0, (centre - 3 * wide + 0.5).astype(int))
+        end = np.minimum(n, (centre + 3 * wide + 0.5).astype(int))
+        at = first[:, None] + np.arange((end - first).max())
+        x = (at - centre[:, None] + 0.5) / wide
+        weight = np.where((at < end[:, None]) & (np.abs(x) < 3), np.sinc(x) * np.sinc(x / 3), 0)
+        return np.minimum(at, n - 1), weight / weight.sum(1, keepdims=True)
+
+    def columns(p: np.ndarray, m: int) -> np.ndarray:
+        at, weight = taps(p.shape[1], m)
+        out = np.zeros((p.shape[0], m, p.shape[2]), np.float32)
+        for k in range(at.shape[1]):
+            out += p[:, at[:, k]] * weight[None, :, k, None].astype(np.float32)
+        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+    across = columns(pixels, width) if width != pixels.shape[1] else pixels
+    return columns(across.swapaxes(0, 1), height).swapaxes(0, 1) if height != pixels.shape[0] else across
+
+
+def preprocessed(content: bytes, longest: int = LONGEST) -> tuple[bytes, float, float]:
+    """A PPM or PGM file downscaled to ``longest`` pixels and autocontrasted, as PPM, and the factors of width and height back to the original."""
+    if content is None or bytes(content[:2]) not in (b"P5", b"P6"):
+        raise InvalidImage("preprocessing reads binary PPM and PGM alone")
+    pixels = parse_ppm(content)
+    h, w = pixels.shape[:2]
+    if min(h, w) < 1:
+        raise InvalidImage("an image without pixels")
+    nw, nh = w, h
+    if max(w, h) > longest:
+        ratio = longest / max(w, h)
+        nw, nh = max(1, int(w * ratio)), max(1, int(h * ratio))
+    out = autocontrast(shrunk(pixels, nw, nh))
+    return b"P6\n%d %d\n255\n" % (nw, nh) + out.tobytes(), w / nw, h / nh
+
+
 def letterboxed(pixels: np.ndarray, size: int = 640) -> tuple[np.ndarray, float]:
     """(1, 3, size, size) float32 in 0..1, the image at the top left over grey 114, and the ratio."""
     h, w = pixels.shape[:2]

@@ -43,6 +43,46 @@ def test_scan_isolates_failures_and_keeps_empty_images(spark, engines):
     assert S.Scanner("broken").scan(images).first().n == 0
 
 
+class Whole:
+    """One box around the image that it gets, with the least and the largest value as payload."""
+
+    name = "whole"
+
+    def detect_and_decode(self, content):
+        p = I.parse_ppm(content)
+        h, w = p.shape[:2]
+        return [{"x1": 0.0, "y1": 0.0, "x2": float(w), "y2": float(h), "symbology": "qr", "payload": f"{w}x{h} {p.min()} {p.max()}", "score": 0.9, "polygon": [{"x": 0.0, "y": 0.0}, {"x": float(w), "y": float(h)}]}]
+
+
+def ppm(w, h):
+    return b"P6 %d %d 255\n" % (w, h) + np.repeat(np.linspace(50, 99, w).astype(np.uint8)[None, :, None], 3, 2).repeat(h, 0).tobytes()
+
+
+def test_auto_preprocess(spark, engines):
+    S.register("whole", Whole)
+    images = spark.createDataFrame([(1, 4001, 6, ppm(4001, 6)), (2, 20, 10, ppm(20, 10)), (3, 5, 5, b"\xff\xd8\xff")], "image_id bigint, width int, height int, content binary")
+    off, auto = ({r.image_id: r for r in S.Scanner("whole", preprocess=p).scan(images).collect()} for p in ("off", "auto"))
+    assert off[1].detections[0].payload == "4001x6 50 99"
+    d = auto[1].detections[0]
+    assert (d.payload, d.x1, round(d.x2, 6), d.y2) == ("2000x2 0 255", 0, 4001, 6)
+    assert auto[2].detections[0].payload == "20x10 0 255" and auto[2].detections[0].x2 == 20
+    assert auto[3].n == 0
+    assert [(round(p.x, 6), p.y) for p in S.detect(images, "whole", preprocess="auto").filter("image_id = 1").first().polygon] == [(0, 0), (4001, 6)]
+
+
+@pytest.mark.parametrize("content", [b"", b"\xff\xd8\xff", b"P6", b"P6 20 ", b"P6 20 10 255", b"P6 # no end"])
+def test_ppm_cut_short(content):
+    with pytest.raises(ValueError):
+        I.parse_ppm(content)
+
+
+def test_shrunk():
+    flat = np.full((40, 3000, 3), 77, np.uint8)
+    assert (I.shrunk(flat, 2000, 26) == 77).all() and I.shrunk(flat, 2000, 26).shape == (26, 2000, 3)
+    ramp = np.arange(200, dtype=np.uint8)[None, :, None].repeat(4, 0)
+    assert np.abs(I.shrunk(ramp, 100, 4)[0, 5:95, 0] - (np.arange(5, 95) * 2 + 0.5)).max() <= 0.5
+
+
 @pytest.mark.parametrize(("kwargs", "error"), [
     ({"engine": "e1", "engines": ("e1",)}, ValueError), ({"engine": "auto"}, ValueError), ({"engines": ()}, ValueError), ({"engines": "e1"}, TypeError), ({"engines": (1,)}, TypeError),
     ({"engines": ("e1", "e1")}, ValueError), ({"engines": ("nope",)}, ValueError), ({"engines": ("zxing",)}, errors.EngineMissing), ({"consensus": True}, TypeError), ({"consensus": 0}, ValueError),
