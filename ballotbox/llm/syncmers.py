@@ -2,9 +2,10 @@
 
 A k-mer of code points is a closed syncmer when the least hash of its s-mers is its first or its last one. The
 choice depends on the k-mer alone, so equal passages give equal anchors at equal distances wherever they stand
-(``anchors``). A fingerprint is the bottom sketch of the distinct anchors' hashes: the ``SKETCH`` least, base64 of sorted
-big-endian 32-bit values. Likeness is the bottom-sketch estimate of the anchors' Jaccard index, exact while
-both sets fit in the sketch.
+(``anchors``). A fingerprint is the bottom sketch of the distinct anchors' hashes, which grows with the text (positions
+aren't kept): the ``LEAST`` least, or one in ``SHARE`` where that is more, base64 of sorted big-endian 32-bit values.
+Likeness is the bottom-sketch estimate of the anchors' Jaccard index by the smaller of both sketches, exact while
+both sets and their union have no more than ``LEAST``.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, alike (1) to
 empty ones and unlike (0) all others; a text too short for a syncmer is its own single anchor; rows of one id are ordered by
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ._common import stage
 
-K, S, SKETCH = 12, 5, 64
+#: A sketch holds LEAST hashes (all, of a text with fewer), or one in SHARE of the distinct anchors where that is more.
+K, S, LEAST, SHARE = 12, 5, 96, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,7 +79,8 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str) -> str:
-    values = np.unique(anchors(text)[1])[:SKETCH]
+    values = np.unique(anchors(text)[1])
+    values = values[: max(LEAST, len(values) // SHARE)]
     return base64.b64encode(values.astype(">u4").tobytes()).decode()
 
 
@@ -86,7 +89,7 @@ def likeness(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
     x, y = (np.frombuffer(base64.b64decode(v), ">u4") for v in (a, b))
-    least = np.union1d(x, y)[:SKETCH]
+    least = np.union1d(x, y)[: max(LEAST, min(len(x), len(y)))]
     return float(np.isin(least, np.intersect1d(x, y), assume_unique=True).sum() / len(least))
 
 

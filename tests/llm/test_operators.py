@@ -327,6 +327,16 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_sketch_grows_with_the_text():
+    words = [f"{zlib.crc32(str(i).encode()):x}" for i in range(4000)]
+    for n, most in ((30, 0.06), (4000, 0.06)):
+        a, b = " ".join(words[:n]), " ".join(words[n // 4 : n] + [w[::-1] for w in words[: n // 4]])
+        x, y = (set(syncmers.anchors(t)[1].tolist()) for t in (a, b))
+        assert abs(syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) - len(x & y) / len(x | y)) < most
+    held = len(np.frombuffer(__import__("base64").b64decode(syncmers.fingerprint(a)), ">u4"))
+    assert held == len(x) // 8 > 96
+
+
 def brute_words(rows, least):
     """Every run of ``least`` words in order; the words of later ones equal to an earlier one go, unless they overlap it in their own row."""
     first, gone = {}, defaultdict(set)
