@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidImage
 from ..functions.geometry import LONGEST
+from ..operators.postprocess import family
 
 #: Leading bytes (hex) of the formats on the allow list; WEBP and HEIF carry theirs at byte 8 and 4.
 MAGIC = {"jpeg": ["FFD8FF"], "png": ["89504E470D0A1A0A"], "gif": ["474946383761", "474946383961"], "bmp": ["424D"], "tiff": ["49492A00", "4D4D002A"], "ico": ["00000100"], "ppm": ["5033", "5036"]}
@@ -166,10 +167,19 @@ def letterboxed(pixels: np.ndarray, size: int = 640) -> tuple[np.ndarray, float]
     return np.ascontiguousarray((out / 255).transpose(2, 0, 1)[None].astype(np.float32)), ratio
 
 
-def infer(images: DataFrame, model: str) -> DataFrame:
+def anchor_rows(outputs: list[np.ndarray], arch: str | None) -> np.ndarray:
+    """One row per anchor from a model's output tensors: RT-DETR's boxes before its logits, YOLO11's features as columns."""
+    layout = family(arch)
+    if layout == "rtdetr":
+        logits, boxes = outputs
+        return np.concatenate([boxes[0], logits[0]], 1)
+    return outputs[0][0].T if layout == "yolo11" else outputs[0][0]
+
+
+def infer(images: DataFrame, model: str, arch: str | None = None) -> DataFrame:
     """``images(image_id, content)`` (PPM) through an ONNX file to ``anchors(image_id, anchor_ix, feat, ratio, width, height)``.
 
-    The session is built once per Python worker; the input's name is the session's own.
+    The session is built once per Python worker; the input's name is the session's own, and so is ``arch`` where none is given.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +187,12 @@ def infer(images: DataFrame, model: str) -> DataFrame:
 
         session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
         name = session.get_inputs()[0].name
+        layout = arch or session.get_modelmeta().custom_metadata_map.get("arbez_arch")
         for pdf in batches:
             for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
                 pixels = parse_ppm(content)
                 tensor, ratio = letterboxed(pixels)
-                rows = session.run(None, {name: tensor})[0][0]
+                rows = anchor_rows(session.run(None, {name: tensor}), layout)
                 yield pd.DataFrame({"image_id": image_id, "anchor_ix": np.arange(len(rows)), "feat": list(rows.astype(np.float64)), "ratio": ratio, "width": pixels.shape[1], "height": pixels.shape[0]})
 
     return images.mapInPandas(run, "image_id bigint, anchor_ix int, feat array<double>, ratio double, width int, height int")

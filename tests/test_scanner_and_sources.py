@@ -76,6 +76,13 @@ def test_ppm_cut_short(content):
         I.parse_ppm(content)
 
 
+def test_anchor_rows_of_three_layouts():
+    boxes, logits = np.ones((1, 300, 4)), np.zeros((1, 300, 9))
+    assert I.anchor_rows([logits, boxes], "rtdetr_v2_r18vd")[0].tolist() == [1] * 4 + [0] * 9
+    assert I.anchor_rows([np.zeros((1, 13, 8400))], "yolo11s").shape == (8400, 13)
+    assert I.anchor_rows([np.zeros((1, 8400, 14))], None).shape == (8400, 14)
+
+
 def test_shrunk():
     flat = np.full((40, 3000, 3), 77, np.uint8)
     assert (I.shrunk(flat, 2000, 26) == 77).all() and I.shrunk(flat, 2000, 26).shape == (26, 2000, 3)
