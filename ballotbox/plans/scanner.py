@@ -101,6 +101,24 @@ def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None =
     return images.select("image_id", "content").mapInPandas(run, DETECTIONS)
 
 
+def detect_errors(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None, preprocess: str = "off") -> DataFrame:
+    """``(image_id, engine, type, message)`` of the images on which the engine raises in ``detect``; runs the engine anew."""
+    make = factory or REGISTRY[name]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = make()
+        for pdf in batches:
+            rows = []
+            for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
+                try:
+                    attempt(engine, content, preprocess)
+                except Exception as e:  # noqa: BLE001  as in detect
+                    rows.append((image_id, name, type(e).__name__, str(e)))
+            yield pd.DataFrame(rows, columns=["image_id", "engine", "type", "message"])
+
+    return images.select("image_id", "content").mapInPandas(run, "image_id bigint, engine string, type string, message string")
+
+
 class Scanner:
     """``engine``: one engine, its detections as they are. ``engines``: several, merged where at least ``consensus`` of them agree (1: union)."""
 

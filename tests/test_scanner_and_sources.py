@@ -76,6 +76,13 @@ def test_ppm_cut_short(content):
         I.parse_ppm(content)
 
 
+def test_detect_errors(spark, engines):
+    images = spark.createDataFrame([(1, b"x")], "image_id bigint, content binary")
+    assert [tuple(r) for r in S.detect_errors(images, "broken").collect()] == [(1, "broken", "RuntimeError", "broken")]
+    assert S.detect_errors(images, "e1").count() == 0
+    assert S.detect_errors(images, "e1", preprocess="auto").first().type == "InvalidImage"
+
+
 def test_anchor_rows_of_three_layouts():
     boxes, logits = np.ones((1, 300, 4)), np.zeros((1, 300, 9))
     assert I.anchor_rows([logits, boxes], "rtdetr_v2_r18vd")[0].tolist() == [1] * 4 + [0] * 9
