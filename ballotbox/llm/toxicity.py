@@ -264,5 +264,7 @@ def score(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc
 
 
 def keep_civil(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` that are not predicted to be toxic, all columns as they were."""
+    """``docs`` that are not predicted to be toxic, all columns as they were; all of them without a model (no labels of both classes)."""
+    if net is None:
+        return docs
     return score(docs, net, tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)

@@ -337,6 +337,11 @@ def test_sketch_grows_with_the_text():
     assert held == len(x) // 8 > 96
 
 
+def test_civil_without_a_model_keeps_all(spark):
+    df = spark.createDataFrame([(1, "clean"), (2, None)], "doc_id long, text string")
+    assert toxicity.keep_civil(df, None).count() == 2
+
+
 def brute_words(rows, least):
     """Every run of ``least`` words in order; the words of later ones equal to an earlier one go, unless they overlap it in their own row."""
     first, gone = {}, defaultdict(set)
