@@ -3,39 +3,51 @@
 A document is the set of hashes of its distinct word n-grams. Two documents link when
 ``den * |A and B| >= num * |A or B|``. Equal sets collapse to one node first.
 
-Candidates. With tokens in one global order (of their hashes), linked sets share a token among their
-first ``p = n - ceil(t n) + 1``. A token that at most ``frequent`` nodes have in that prefix is a rare one and
-is indexed alone. For the others the prefix is extended to ``2 D + 2`` tokens, ``D = floor(n (1 - t) / t)``, and
-every pair of neighbours in it is indexed. At most ``D`` tokens of either set are missing in the other
-together, each parts at most one pair of shared neighbours, so a common pair is left; a document
-emits pairs exactly if its prefix has a frequent token, and both documents of a link that share only such tokens do.
+Order of tokens. Tokens fall into 2**32 classes by their hash. The documents that hold each class are counted over
+the whole table: every task sends its sorted distinct classes as deflated gaps to the owners of their ranges, with the
+task's own counts, so a class costs at most one entry a task however many documents hold it. Classes of more
+than ``frequent`` documents are frequent ones; of those the ``MOST_FREQUENT`` most frequent at most are told to all tasks
+(any set of classes gives the same links, a smaller one more candidates). The global order puts tokens of frequent classes last.
+
+Candidates. Linked sets share a token among their first ``p = n - ceil(t n) + 1``. Tokens of rare classes in that prefix are
+indexed alone. A document whose prefix holds a frequent class has the prefix extended to ``k D + k`` tokens,
+``D = floor(n (1 - t) / t)``, of which every run of k neighbours is indexed, beginning with k = 2: at most ``D`` tokens of
+either set are missing in the other together, they cut the shared ones into ``D + 1`` runs at most, and more than
+``(k - 1) (D + 1)`` shared ones are left, so one run holds k neighbours. Where a combination is itself frequent, its documents that are not
+linked yet are indexed anew by combinations of one token more, as far as ``k (D + 1) <= n`` and ``MOST_TOKENS`` allow.
 
 Groups of one key are never expanded into all pairs. Each member meets the group's least node; what links there
-becomes one component. Only members that stay outside the group's main component then meet the
-other components' members, if size and parity bitmaps (proven lower bounds of the
-symmetric difference) allow a link. Every candidate is verified on the whole sets, so the components are
-exactly those of the link graph.
+becomes one component. Of groups of at most ``frequent`` nodes, and of those that can't be extended further, members
+outside the main component then meet the other components' members, if sizes and parity maps (proven lower bounds
+of the symmetric difference) allow a link. Every candidate is verified on the whole sets, so the components
+are exactly those of the link graph.
 
 Defined results: null, empty and wordless texts have no set, link with nothing and are their own component; a
 text of fewer than n words is one token, its whole sequence; repeated rows and ids are separate rows of
-one node; the component of rows that all have null ids is null; further columns are ignored.
+one node; the component of rows that all have null ids is null; an empty table gives no rows; very long texts are one set
+like others; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_KEYS, components, discard, join_keys, number_rows, stage
+from ._common import Scratch, claim, components, discard, sized, stage
 
-FREQUENT = 64
-BITMAP = 512
-_LONGS = BITMAP // 64
+FREQUENT = 32
+#: Frequent classes told to all tasks: 4 bytes each, 4 MB at most.
+MOST_FREQUENT = 1_000_000
+MOST_TOKENS = 4
+#: A task sends its classes after so many tokens; an owner sums up what it holds after as many entries.
+SEGMENT = 4_000_000
+LEAST_BITS = 512
+_BITS = [f"b{i}" for i in range(LEAST_BITS // 64)]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -74,53 +86,228 @@ def signed(tokens: np.ndarray) -> np.ndarray:
     return (tokens ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def classes(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
 
-def extended_size(n: int, num: int, den: int) -> int:
-    return min(n, 2 * (n * (den - num) // num) + 2)
+def extended_size(n: int, num: int, den: int, k: int = 2) -> int:
+    return min(n, k * (n * (den - num) // num) + k)
+
 
+def extendable(n: int | Column, num: int, den: int, k: int) -> bool | Column:
+    """Whether linked sets of this size are sure to share ``k`` neighbours."""
+    wide = n * (den - num)
+    d = wide // num if isinstance(n, int) else F.floor((wide - wide % num) / num)
+    return k * (d + 1) <= n
 
-def parity(tokens: np.ndarray, size: int = BITMAP) -> np.ndarray:
+
+def parity(tokens: np.ndarray, size: int = LEAST_BITS) -> np.ndarray:
     """``size`` bits, a power of two: whether an odd number of tokens falls on each. A map of half the size is the XOR of its halves."""
     bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-_SKETCH = "row_no long, doc_id long, n long, digest binary, prefix array<long>, map array<long>, " + ", ".join(f"b{i} long" for i in range(_LONGS))
+def folded_parity(bits: np.ndarray) -> list[int]:
+    """The map of ``LEAST_BITS``."""
+    while len(bits) > LEAST_BITS // 64:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits.tolist()
+
+
+def gap_code(values: np.ndarray, base: int) -> bytes:
+    """Rising values from ``base`` on as 16-bit gaps, low and high bytes apart, deflated; a gap of 65535 goes on in the next and stands for no value."""
+    gaps = np.diff(values.astype(np.int64), prepend=base)
+    out = np.full(int((gaps // 65535 + 1).sum()), 65535, "<u2")
+    out[np.cumsum(gaps // 65535 + 1) - 1] = gaps % 65535
+    return zlib.compress(out.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
 
 
-def _sketch(n: int, num: int, den: int):
+def gap_decode(blob: bytes, base: int) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(2, -1).astype(np.int64)
+    gaps = low | high << 8
+    return (base + np.cumsum(gaps))[gaps != 65535]
+
+
+def digest_of(tokens: np.ndarray) -> bytes:
     import xxhash
 
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+_SENT = "kind int, doc_id long, h1 long, h2 long, n long, digest binary, owner int, blob binary, at binary, times binary"
+
+
+def _first_class(owner: int, owners: int) -> int:
+    return -(-(owner << 32) // owners)
+
+
+def _sketch(n: int, owners: int):
+    """Rows of kind 0: size and digest of each row's set; of kind 1: the classes of the task's distinct sets for each owner."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = number_rows(TaskContext.get().partitionId())
+        claim("ngram")
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
+        edges = np.array([_first_class(i, owners) for i in range(owners + 1)])
+
+        def sent() -> pd.DataFrame:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(found.astype(np.int64), edges).tolist()
+            out = []
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    at = np.flatnonzero(times[a:b] > 1)
+                    out.append((i, gap_code(found[a:b], int(edges[i])), at.astype("<u4").tobytes(), times[a:b][at].astype("<u4").tobytes()))
+            return shaped({"kind": 1, **{c: [x[i] for x in out] for i, c in enumerate(("owner", "blob", "at", "times"))}})
+
+        def shaped(columns: dict) -> pd.DataFrame:
+            out = pd.DataFrame({c: columns.get(c) for c in (x.split()[0] for x in _SENT.split(", "))})
+            return out.astype({c: "Int64" for c in ("doc_id", "h1", "h2", "n", "owner")})
+
         for pdf in batches:
-            ids = [None if x is None or x != x else int(x) for x in pdf["doc_id"].tolist()]
-            sizes, digests, prefixes, maps, bits = [], [], [], [], np.zeros((len(ids), _LONGS), np.int64)
-            for i, text in enumerate(pdf["text"].tolist()):
+            sizes, digests = [], []
+            for text in pdf["text"].tolist():
                 s = shingles(text, n)
+                d = digest_of(s)
                 sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefixes.append(signed(s[: prefix_size(len(s), num, den)]))
-                bits[i] = parity(s)
-                maps.append(parity(s, max(BITMAP, 1 << len(s).bit_length())))
-            yield pd.DataFrame({"row_no": [next(numbers) for _ in ids], "doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "digest": digests, "prefix": prefixes, "map": maps} | {f"b{i}": bits[:, i] for i in range(_LONGS)})
+                digests.append(d)
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    held.append(classes(s))
+                    size += len(s)
+            yield shaped({"kind": 0, "doc_id": pdf["doc_id"], "h1": pdf["h1"], "h2": pdf["h2"], "n": sizes, "digest": digests})
+            if size >= SEGMENT:
+                yield sent()
+                held, size = [], 0
+                seen.clear()  # a set may count once a segment
+        if held:
+            yield sent()
+
+    return run
+
+
+def _count_classes(owners: int, least: int):
+    """Over partitions sorted by owner: classes that more than ``least`` sets have been sent with."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        c, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(c, kind="stable")
+        c, t = c[order], t[order]
+        first = np.flatnonzero(np.diff(c, prepend=-1))
+        return c[first], np.add.reduceat(t, first)
+
+    def over(parts: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        c, t = summed(parts)
+        return pd.DataFrame({"class": c[t > least], "df": t[t > least]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, size, most = None, [], 0, SEGMENT
+        for pdf in batches:
+            for owner, blob, at, times in zip(pdf["owner"].tolist(), pdf["blob"], pdf["at"], pdf["times"], strict=True):
+                if owner != now:
+                    if parts:
+                        yield over(parts)
+                    now, parts, size, most = owner, [], 0, SEGMENT
+                found = gap_decode(blob, _first_class(owner, owners))
+                count = np.ones(len(found), np.int64)
+                count[np.frombuffer(at, "<u4")] = np.frombuffer(times, "<u4")
+                parts.append((found, count))
+                size += len(found)
+                if size > most:  # an owner's classes are a fixed range, so what stays is bounded however many tasks send
+                    parts = [summed(parts)]
+                    size = len(parts[0][0])
+                    most = max(SEGMENT, 2 * size)
+        if parts:
+            yield over(parts)
+
+    return run
+
+
+class Common:
+    """The frequent classes, sorted, behind a coarse table that settles most tokens."""
+
+    def __init__(self, found: np.ndarray):
+        self.found = np.append(found, np.uint32(0xFFFFFFFF))  # never read past the end
+        self.coarse = np.zeros(1 << 16, bool)
+        self.coarse[found >> np.uint32(16)] = True
+        self.last = len(found) and found[-1] == 0xFFFFFFFF
+
+    def holds(self, tokens: np.ndarray) -> np.ndarray:
+        own = classes(tokens)
+        out = self.coarse[own >> np.uint32(16)]
+        at = np.flatnonzero(out)
+        if len(at):
+            some = own[at]
+            out[at] = (self.found[np.searchsorted(self.found, some)] == some) & (self.last | (some != 0xFFFFFFFF))
+        return out
+
+
+def combinations(x: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``k`` neighbours."""
+    if len(x) < k:
+        return np.zeros(0, np.uint64)
+    m = len(x) - k + 1
+    acc = np.full(m, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            acc = _mix(acc * _MIX[0] + x[i : i + m] * _MIX[1])
+    return np.unique(acc)
+
+
+def keys_of(s: np.ndarray, common: Common, num: int, den: int, k: int = 1) -> np.ndarray:
+    """The keys of a set: rare tokens of the prefix and, if frequent ones are in it, pairs of the extended prefix; with ``k``
+    over 1 the combinations of ``k`` tokens alone."""
+    n, often = len(s), common.holds(s)
+    ordered, rare = np.concatenate([s[~often], s[often]]), n - int(often.sum())
+    if k > 1:
+        return combinations(ordered[: extended_size(n, num, den, k)], k)
+    p = prefix_size(n, num, den)
+    if p <= rare:
+        return ordered[:p]
+    return np.unique(np.concatenate([ordered[:rare], combinations(ordered[: extended_size(n, num, den)], 2)]))
+
+
+def _index(n: int, num: int, den: int, frequent, k: int):
+    """Distinct sets once a task, with their keys; sets too small to link with any other set give nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("ngram")
+        common, seen = Common(frequent.value), set()
+        for pdf in batches:
+            out = []
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                s = shingles(text, n)
+                if len(s) * (den - num) < num:  # not one token may differ
+                    continue
+                d = digest_of(s)
+                if d in seen:
+                    continue
+                seen.add(d)
+                bits = parity(s, max(LEAST_BITS, 1 << len(s).bit_length()))
+                out.append((None if doc_id is None or doc_id != doc_id else int(doc_id), d, len(s), bits, signed(keys_of(s, common, num, den, k)), *folded_parity(bits)))
+            yield pd.DataFrame(out, columns=["doc_id", "digest", "n", "map", "keys", *_BITS]).astype({"doc_id": "Int64"} | dict.fromkeys(["n", *_BITS], "int64"))
 
     return run
 
 
+_INDEXED = "doc_id long, n long, map array<long>, keys array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+
+
 def _sets(n: int):
     """Whole sets, each once a task."""
-    import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("ngram")
         seen: set[bytes] = set()
         for pdf in batches:
             digests, sets = [], []
             for s in (shingles(x, n) for x in pdf["text"].tolist()):
-                d = xxhash.xxh3_128_digest(s.tobytes())
+                d = digest_of(s)
                 if d not in seen:
                     seen.add(d)
                     digests.append(d)
@@ -130,127 +317,182 @@ def _sets(n: int):
     return run
 
 
-def _pairs(n: int, num: int, den: int):
-    """The neighbour pairs of the extended prefixes, each document's once a task."""
-    import xxhash
+def _told(found: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The most frequent of the staged classes ``found(class, df)``, sorted: whole quarter octaves of df, ``most`` classes at most."""
+    octave = F.floor(F.log2("df") * 4)
+    room, least = most, None
+    for r in sorted(found.groupBy(octave.alias("o")).count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["o"]
+    if least is None:
+        return np.zeros(0, np.uint32)
+    return np.sort(found.filter(octave >= least).select("class").toPandas()["class"].to_numpy().astype(np.uint32))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a 128-bit hash of the text; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
+
+
+def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, h1, h2, n, digest)``, and for digests of sets with copies or links ``(digest, component_id, least_digest)``; both staged."""
+    if 5 * num < 4 * den or num >= den:
+        raise ValueError("the prefixes are proven for a similarity from 0.8 to below 1")
+    spark = docs.sparkSession
+    source = _hashed(docs, id_col, text_col)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = min(4096, max(64, 8 * parts))
+
+    scratch = Scratch()
+    sent = stage(source.mapInPandas(_sketch(n, owners), _SENT), "ngram-sent", ("kind",))
+    rows = sent.filter("kind = 0").select("doc_id", "h1", "h2", "n", "digest")
+    blobs = sent.filter("kind = 1").select("owner", "blob", "at", "times").repartition(parts, "owner").sortWithinPartitions("owner")
+    found = scratch.stage(blobs.mapInPandas(_count_classes(owners, frequent), "class long, df long"), "ngram-frequent")
+    discard(sent, "kind=1")
+    told = spark.sparkContext.broadcast(_told(found))
+    discard(found)
+    copies = scratch.stage(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("k")).filter("k > 1").select("digest", "least_id"), "ngram-copies")
+
+    texts = source.select("doc_id", "text")
+    made = texts.mapInPandas(_index(n, num, den, told, 1), f"digest binary, {_INDEXED}")
+    made = scratch.stage(made.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+    # a set that several tasks have met is one node, the least
+    doubled = made.select("digest", "node").join(sized(copies.select("digest")), "digest")
+    firsts = doubled.groupBy("digest").agg(F.min("node").alias("first"))
+    others = scratch.stage(doubled.join(firsts, "digest").filter("node <> first").select("node"), "ngram-others")
+    nodes = made.join(sized(others), "node", "left_anti")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for pdf in batches:
-            digests, pairs = [], []
-            for s in (shingles(x, n) for x in pdf["text"].tolist()):
-                x, d = s[: extended_size(len(s), num, den)], xxhash.xxh3_128_digest(s.tobytes())
-                if d in seen:
-                    continue
-                seen.add(d)
-                digests.append(d)
-                with np.errstate(over="ignore"):
-                    pairs.append(np.unique(_mix(x[:-1] * _MIX[0] + (x[1:] ^ (x[1:] >> np.uint64(31))) * _MIX[1])).view(np.int64))
-            yield pd.DataFrame({"digest": digests, "pairs": pairs})
+    def read_again(some: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over the texts of the staged nodes ``some(node)``, as (node, ...)."""
+        who = scratch.stage(nodes.select("node", "doc_id", "digest").join(some, "node", "left_semi"), "ngram-wanted")
+        ids = scratch.stage(who.select(F.col("doc_id").alias("__id")).distinct(), "ngram-ids")
+        match = F.col("doc_id").eqNullSafe(F.col("__id"))
+        some_texts = texts.join(sized(ids), match, "left_semi")
+        # repeated ids may bring a node from several tasks: what follows takes distinct keys and pairs
+        return some_texts.mapInPandas(run, f"digest binary, {schema}").join(sized(who.select("node", "digest")), "digest")
+
+    def grouped(entries: DataFrame) -> DataFrame:
+        """Staged ``(key, node, pivot, size)`` of keys with two nodes or more. Keys are counted with one small row a task and key; the rows themselves are
+        then joined with the counts, staged before, so that Spark may split a frequent key."""
+        pivots = scratch.stage(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "ngram-pivots")
+        out = scratch.stage(entries.join(pivots.hint("merge"), "key"), "ngram-members")
+        discard(pivots)
+        return out
 
-    return run
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of staged ``(a, b)`` those whose parity maps allow a link, staged. A map has a bit for each token or more; of two sizes the larger is
+        folded. Each odd bit of the XOR holds a token that one set lacks, so their number bounds the symmetric difference from below."""
+        of = made.select("node", F.struct("n", "map").alias("of"))
+        both = pairs.join(of.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+        least = F.least(F.size("x.map"), F.size("y.map"))
 
+        def folded(c: str) -> Column:
+            return F.when(F.size(c) == least, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, least), F.slice(c, least + 1, least), lambda p, q: p.bitwiseXOR(q)))
 
-def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    if 5 * num < 4 * den:
-        raise ValueError("the prefixes are proven for a similarity of 0.8 or more")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = stage(source.mapInPandas(_sketch(n, num, den), _SKETCH), "ngram-sketches")
-    rows = stage(sketches.select("row_no", "doc_id", "n", "digest"), "ngram-rows")
-    classes = stage(rows.filter("n > 0").groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least_id")), "ngram-classes")
-    bits = [f"b{i}" for i in range(_LONGS)]
-    nodes = sketches.filter("n > 2").join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "node")
-
-    # single tokens: only those that two nodes or more have in their prefixes leave the index's first step
-    entries = nodes.select(F.explode("prefix").alias("key"), "node")
-    met = stage(entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-met")
-    index = stage(join_keys(entries, met), "ngram-index")
-    discard(met)
-    info = stage(nodes.select("node", "doc_id", "digest", "n", "map", *bits).join(index.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
-    discard(sketches)
+        differ = F.aggregate(F.zip_with(folded("x.map"), folded("y.map"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+        sizes = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)  # such maps differ by one step at most
+        out = scratch.stage(both.filter(sizes).filter(differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b"), "ngram-near")
+        discard(pairs)
+        return out
 
-    def read_again(some: DataFrame, run, schema: str) -> DataFrame:
-        """``run`` over the texts of the nodes ``some(node)``, as (node, ...)."""
-        who = stage(info.select("node", "doc_id", "digest").join(some, "node", "left_semi"), "ngram-wanted")
-        ids = who.select(F.col("doc_id").alias("__id")).distinct()
-        small = who.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        texts = source.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        # repeated ids may bring a node from several tasks: what follows takes distinct keys and pairs
-        return texts.mapInPandas(run, f"digest binary, {schema}").join(F.broadcast(who.select("node", "digest")) if small else who.select("node", "digest"), "digest")
-
-    wide = index.filter(F.col("df") > frequent).select("node").distinct()
-    pairs = read_again(wide, _pairs(n, num, den), "pairs array<long>").select(F.explode("pairs").alias("key"), "node")
-    # counted by key alone, then made again: most pairs have one document, so writing all of them would cost more than the texts
-    met = stage(pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1").select("key"), "ngram-met")
-    every = stage(index.filter(F.col("df") <= frequent).select("key", "node").unionByName(join_keys(pairs, met).select("key", "node")), "ngram-keys")
-    for done in (met, index):
-        discard(done)
-    pivots = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", "pivot")
-    members = stage(every.join(pivots, "key"), "ngram-members")
-    discard(every)
-    left, right = (info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
-
-    odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-    able = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-
-    def both_sides(candidates: DataFrame, table: DataFrame, col: str) -> DataFrame:
-        """Staged ``(a, b)`` pairs with ``col`` of both nodes as a_col and b_col. Up to a bounded number of pairs, only the a side's
-        rows of these pairs and the b side are shuffled, on b, where AQE may split a frequent node."""
-        small = candidates.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        some = candidates.select("b").distinct()
-        a, b = (table.select(F.col("node").alias(x), F.col(col).alias(f"{x}_{col}")) for x in "ab")
-        return a.join(F.broadcast(candidates) if small else candidates, "a").join(b.join(F.broadcast(some) if small else some, "b", "left_semi").hint("merge"), "b")
-
-    def near(candidates: DataFrame) -> DataFrame:
-        """Of staged ``(a, b)`` pairs those whose parity maps allow a link. A map has a bit for each token or more; of two sizes the larger is
-        folded. Each odd bit of the XOR holds a token that one set lacks, so their number bounds the symmetric difference from below."""
-        both = both_sides(candidates, info.select("node", F.struct("n", "map").alias("of")), "of")
-        least = F.least(F.size("a_of.map"), F.size("b_of.map"))
-
-        def folded(x: str) -> Column:
-            return F.when(F.size(x) == least, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q)))
-
-        differ = F.aggregate(F.zip_with(folded("a_of.map"), folded("b_of.map"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
-        comparable = F.greatest(F.size("a_of.map"), F.size("b_of.map")) <= 2 * least  # sizes that allow a link differ by one step at most
-        return both.filter(comparable & (differ * (den + num) <= (F.col("a_of.n") + F.col("b_of.n")) * (den - num))).select("a", "b")
-
-    def linked(candidates: DataFrame) -> DataFrame:
-        """Of staged ``(a, b)`` pairs those that link, by their whole sets, staged; a pair may come repeatedly."""
-        some = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
-        both = both_sides(candidates, sets, "tokens").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
-        out = stage(both.filter(F.col("same") * den >= (F.size("a_tokens") + F.size("b_tokens") - F.col("same")) * num).select("a", "b"), "ngram-links")
-        discard(sets)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of staged ``(a, b)`` those that link, by their whole sets, staged; a pair may come repeatedly."""
+        some = scratch.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-some")
+        sets = scratch.stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
+        a, b = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
+        both = pairs.join(a, "a").join(b.hint("merge"), "b").withColumn("same", F.size(F.array_intersect("a_tokens", "b_tokens")))
+        out = scratch.stage(both.filter(F.col("same") * den >= (F.size("a_tokens") + F.size("b_tokens") - F.col("same")) * num).select("a", "b").distinct(), "ngram-links")
+        for done in (pairs, some, sets):
+            discard(done)
+        return out
+
+    def stars(members: DataFrame) -> DataFrame:
+        pairs = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        return linked(near(scratch.stage(pairs, "ngram-stars")))
+
+    def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Staged members of groups of three or more that hold several components, with the component of most of its members as ``main``."""
+        placed = scratch.stage(members.filter("size > 2").join(labels, "node", "left").select("key", "node", "pivot", "size", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+        main = scratch.stage(counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("key", F.col("top.comp").alias("main")), "ngram-main")
+        out = scratch.stage(placed.join(main.hint("merge"), "key").join(made.select("node", "n", *_BITS), "node"), "ngram-open")
+        for done in (placed, main):
+            discard(done)
+        return out
+
+    def crossing(open_: DataFrame, able: Column) -> DataFrame:
+        """Staged pairs of different components in a group that haven't met: those outside the main component with the others, if sizes and the small parity
+        maps allow a link; the join's condition rejects all others, so they are never rows. ``able``: members that may be left to the next step."""
+        side = open_.withColumn("able", able)
+        one = side.filter("comp <> main").select("key", F.col("node").alias("a"), "pivot", *[F.col(c).alias(f"{c}_a") for c in ("comp", "n", "able", *_BITS)])
+        two = side.select("key", F.col("node").alias("b"), "main", *[F.col(c).alias(f"{c}_b") for c in ("comp", "n", "able", *_BITS)])
+        sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+        odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+        maps = odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+        once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+        new = (F.col("comp_a") != F.col("comp_b")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & ~(F.col("able_a") & F.col("able_b"))
+        met = one.hint("merge").join(two, "key").filter(new & once & sizes & maps)
+        return scratch.stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-crossing")
+
+    def labelled(links: list[DataFrame]) -> DataFrame:
+        out = components(links)
+        scratch.append(out)
         return out
 
-    stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    met = stage(stars.join(left, "a").join(right, "b").filter(able).select("a", "b"), "ngram-met")
-    first = stage(near(met), "ngram-stars")
-    links = linked(first)
-    labels = components(links)
-
-    # groups that still hold several components: those outside the main one meet the others
-    placed = stage(members.join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1 and size > 2").select("key", F.col("top.comp").alias("main"))
-    open_ = placed.join(main, "key")
-    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("pivot").alias("p")).join(left, "a")
-    two = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main").join(right, "b")
-    crossing = one.join(two, (one["key"] == two["key"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("p")) & (F.col("b") != F.col("p")) & able)
-    met = stage(crossing.select("a", "b").distinct(), "ngram-met")
-    more = linked(stage(near(met), "ngram-crossing"))
-    labels = components(links.unionByName(more)) if not more.isEmpty() else labels
-
-    named = classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
-    ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_digest = named.join(ids, "comp").select("digest", "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.filter("n > 0").join(by_digest, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    members = grouped(nodes.select(F.explode("keys").alias("key"), "node"))
+    links = [stars(members)]
+    for k in range(2, MOST_TOKENS + 1):
+        labels = labelled(links)
+        open_ = open_groups(members, labels)
+        discard(members)
+        able = (F.col("size") > frequent) & extendable(F.col("n"), num, den, k + 1) if k < MOST_TOKENS else F.lit(False)
+        links.append(linked(near(crossing(open_, able))))
+        again = scratch.stage(open_.filter(able).select("node").distinct(), "ngram-again")
+        discard(open_)
+        if again.isEmpty():
+            break
+        entries = scratch.stage(read_again(again, _index(n, num, den, told, k + 1), _INDEXED).select(F.explode("keys").alias("key"), "node").distinct(), "ngram-entries")
+        members = grouped(entries)
+        discard(entries)
+        links.append(stars(members))
+    labels = labelled(links)
+    told.unpersist()
+
+    own = labels.join(made.select("node", "digest", "doc_id"), "node").join(copies, "digest", "left").select("comp", "digest", F.coalesce("least_id", "doc_id").alias("least_id"))
+    of = own.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("digest").alias("least_digest"))
+    met = own.select("comp", "digest").join(of, "comp").select("digest", "component_id", "least_digest")
+    rest = copies.join(met.select("digest"), "digest", "left_anti").select("digest", F.col("least_id").alias("component_id"), F.col("digest").alias("least_digest"))
+    groups = stage(met.unionByName(rest), "ngram-groups")
+    scratch.clear()
+    return rows, groups
+
+
+def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    rows, groups = link_groups(docs, n, num, den, id_col, text_col, frequent)
+    met = rows.join(sized(groups.select("digest", "component_id")), "digest", "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose component holds a smaller id; documents without words and with null ids stay."""
-    dropped = stage(link_components(docs, n, num, den, id_col, text_col).filter("doc_id > component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "ngram-dropped")
-    small = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(dropped) if small else dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    """``docs`` with one row of each component, all columns as they were: the one with the least id (null ids last), of repeated ids the one whose text has
+    the least hash, of equal texts too any one. Documents without words all stay. Rows are told apart by id and text, so unrelated ones that
+    share an id stay."""
+    rows, groups = link_groups(docs, n, num, den, id_col, text_col)
+    mark = ["doc_id", "h1", "h2"]
+    met = rows.join(sized(groups.select("digest", "least_digest")), "digest")
+    each = stage(met.groupBy("least_digest", *mark).agg(F.count("*").alias("times")), "ngram-each")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), *mark)
+    first = each.groupBy("least_digest").agg(F.min(order).alias("first")).select("least_digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in mark])
+    first = stage(first, "ngram-first")
+    stays = each.join(sized(first), "least_digest").withColumn("__stays", F.struct(*mark).eqNullSafe(F.struct(*[f"first_{c}" for c in mark])))
+    marked = stage(stays.filter("not __stays or times > 1").select(*[F.col(c).alias(f"__{c}") for c in mark], "__stays"), "ngram-marked")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({"__own_h1": F.xxhash64(text), "__own_h2": F.xxhash64(F.lit(7), text)})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own_h1") == F.col("__h1")) & (F.col("__own_h2") == F.col("__h2"))
+    found = own.join(sized(marked), same, "left")
+    once = Window.partitionBy(F.col(id_col), "__own_h1", "__own_h2").orderBy("__h1")
+    repeated = found.filter("__stays").withColumn("__rank", F.row_number().over(once)).filter("__rank = 1")
+    return found.filter("__stays is null").select(*docs.columns).unionByName(repeated.select(*docs.columns))
