@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, discard, keep_matching, stage
+from ._common import WHITE, Scratch, claim, discard, keep_matching, sized, small, stage
 
 LEAST_WORDS = 50
 #: Texts are hashed in groups of so many bytes, longer ones alone.
@@ -45,8 +45,8 @@ _SOLID[list(WHITE.encode())] = False
 _WORD = re.compile(f"[^{WHITE}]+[{WHITE}]*")
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """Line numbers, hashes and word counts of the non-blank lines."""
+def line_hashes(text: str | None) -> tuple[list[int], list[bytes], list[int]]:
+    """Line numbers, 128-bit hashes and word counts of the non-blank lines."""
     import xxhash
 
     numbers, hashes, counts = [], [], []
@@ -54,7 +54,7 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
         line = line.strip(WHITE)
         if line:
             numbers.append(i)
-            hashes.append(xxhash.xxh3_64_intdigest(line.encode()))
+            hashes.append(xxhash.xxh3_128_digest(line.encode()))
             counts.append(len(line.encode().split()))
     return numbers, hashes, counts
 
@@ -74,14 +74,14 @@ def _entries(least: int):
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lines", _POWERS.clear)
         for pdf in batches:
             out = []
             for row_no, doc_id, text in zip(pdf["row_no"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
                 numbers, hashes, counts = line_hashes(text)
-                raw = np.array(hashes, np.uint64)
                 for i, j in windows(counts, least):
                     pick = min(range(i, j + 1), key=lambda k: (hashes[k], -k))
-                    out.append((row_no, doc_id, numbers[i], numbers[j], np.int64(np.uint64(hashes[pick])), xxhash.xxh3_64_intdigest(np.int64([row_no, pick]).tobytes()) >> 1, xxhash.xxh3_128_digest(raw[i : j + 1].tobytes())))
+                    out.append((row_no, doc_id, numbers[i], numbers[j], int.from_bytes(hashes[pick][:8], "little", signed=True), xxhash.xxh3_64_intdigest(np.int64([row_no, pick]).tobytes()) >> 1, xxhash.xxh3_128_digest(b"".join(hashes[i : j + 1]))))
             frame = pd.DataFrame(out, columns=["row_no", "doc_id", "i", "j", "fp", "place", "win"])
             yield frame.astype({"doc_id": "Int64"})
 
@@ -89,16 +89,20 @@ def _entries(least: int):
 
 
 def repeated_lines(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``(row_no, lines array<int>)`` of the lines to delete, for staged ``rows(row_no, doc_id, text)``."""
-    entries = stage(rows.mapInPandas(_entries(least), "row_no long, doc_id long, i int, j int, fp long, place long, win binary"), "lines-windows")
+    """Staged ``(row_no, a array<int>, b array<int>)``: first and last lines of the runs to delete, for staged ``rows(row_no, doc_id, text)``."""
+    scratch = Scratch()
+    entries = scratch.stage(rows.mapInPandas(_entries(least), "row_no long, doc_id long, i int, j int, fp long, place long, win binary"), "lines-windows")
     # fingerprints at two places or more; a few bytes for each leave a task, however often one repeats there
-    again = entries.groupBy("fp").agg(F.min("place").alias("p"), F.max("place").alias("q")).filter("p <> q").select("fp")
-    suspects = stage(entries.join(again, "fp", "left_semi").select("row_no", "doc_id", "i", "j", "win"), "lines-suspects")
+    again = scratch.stage(entries.groupBy("fp").agg(F.min("place").alias("p"), F.max("place").alias("q")).filter("p <> q").select("fp"), "lines-again")
+    suspects = scratch.stage(entries.join(sized(again), "fp", "left_semi").select("row_no", "doc_id", "i", "j", "win"), "lines-suspects")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_no", "i")
     first = suspects.groupBy("win").agg(F.min(F.struct(order.alias("at"), F.col("j").alias("end"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = suspects.join(first, "win").filter((F.col("row_no") != F.col("first.at.row_no")) | (F.col("i") > F.col("first.end")))
+    first = scratch.stage(first.select("win", F.col("first.at.row_no").alias("first_row"), F.col("first.end").alias("end")), "lines-firsts")
+    later = suspects.join(sized(first), "win").filter((F.col("row_no") != F.col("first_row")) | (F.col("i") > F.col("end")))
     # a row's windows are bounded by its lines
-    return later.groupBy("row_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("i", "j"))))).alias("lines"))
+    out = stage(later.groupBy("row_no").agg(F.collect_list(F.struct("i", "j")).alias("x")).select("row_no", F.col("x.i").alias("a"), F.col("x.j").alias("b")), "lines-cuts")
+    scratch.clear()
+    return out
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,24 +110,63 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(source.withColumn("row_no", F.monotonically_increasing_id()), "lines-rows")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """Per row: doc_id, n_lines, n_removed, removed (0-based line numbers, comma-separated), text (what is left)."""
-    rows = numbered(docs, id_col, text_col)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    met = rows.join(repeated_lines(rows, least).withColumnRenamed("lines", "found"), "row_no", "left").withColumn("all", lines)
-    # blank lines inside a run carry numbers of the sequence but are never deleted
-    gone = F.filter("found", lambda i: F.trim(F.translate(F.element_at(F.col("all"), i + 1), WHITE, " " * len(WHITE))) != "")
-    met = met.withColumn("gone", F.when(F.col("found").isNotNull(), gone))
-    kept = F.array_join(F.filter("all", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+def without_lines(text: str, a: list[int], b: list[int]) -> tuple[list[int], str]:
+    """Lines deleted and what is left when the lines from each ``a`` to ``b`` go, blank ones excepted; time in proportion to text and runs."""
+    lines = text.split("\n")
+    gone = _covered(len(lines), a, np.asarray(b, np.int64) + 1)
+    removed = [i for i, line in enumerate(lines) if gone[i] and line.strip(WHITE)]
+    dropped = set(removed)
+    return removed, "\n".join(x for i, x in enumerate(lines) if i not in dropped)
+
+
+def _covered(n: int, first: list[int], end: np.ndarray) -> list[bool]:
+    """Which of ``n`` places lie in a run ``first:end``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.asarray(first, np.int64), 1)
+    np.add.at(edge, end, -1)
+    return (np.cumsum(edge)[:n] > 0).tolist()
+
+
+def _cut(run, kind: str):
+    """``run`` over the texts of rows that lose something; the others stay as they are."""
+
+    @F.pandas_udf(kind)
+    def cut(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        columns = [x.split()[0] for x in kind.split(", ")]
+        out = [(None,) * len(columns) if t is None or x is None else run(t, x, y) for t, x, y in zip(text, a, b, strict=True)]
+        return pd.DataFrame(out, columns=columns).astype({"words": "Int64"} if "words" in columns else {})
+
+    return cut(F.when(F.col("a").isNotNull(), F.col("text")), "a", "b")
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` with ``a`` and ``b`` of the staged ``cuts(row_no, a, b)``, null where there are none. Only texts that lose something are
+    shuffled, as long as their numbers may be broadcast."""
+    touched = cuts.select("row_no")
+    if not small(touched):
+        return rows.join(cuts, "row_no", "left")
+    touched = F.broadcast(touched)
+    alone = rows.join(touched, "row_no", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in "ab"})
+    return alone.unionByName(rows.join(touched, "row_no", "left_semi").join(cuts, "row_no"))
+
+
+def _told(met: DataFrame, *more: Column) -> DataFrame:
     return met.select(
         "doc_id",
-        F.size("all").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.when(F.col("a").isNull(), 0).otherwise(F.size("x.lines")).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("x.lines").cast("array<string>"), ","), F.lit("")).alias("removed"),
+        F.when(F.col("a").isNull(), F.col("text")).otherwise(F.col("x.text")).alias("text"),
+        *more,
     )
 
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """Per row: doc_id, n_lines, n_removed, removed (0-based line numbers, comma-separated), text (what is left)."""
+    rows = numbered(docs, id_col, text_col)
+    return _told(_with_cuts(rows, repeated_lines(rows, least)).withColumn("x", _cut(without_lines, "lines array<int>, text string")))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers modulo 2**64 at least."""
     if len(_POWERS.get(base, ())) < n:
@@ -188,6 +231,7 @@ def word_entries(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
 
 def _word_entries(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lines", _POWERS.clear)
         for pdf in batches:
             for part, texts in _groups(pdf):
                 own, a, b, fp, body = word_entries(texts, least)
@@ -198,6 +242,7 @@ def _word_entries(least: int):
 
 def _word_windows(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lines", _POWERS.clear)
         for pdf in batches:
             for part, texts in _groups(pdf):
                 words, at = word_hashes(texts)
@@ -213,48 +258,52 @@ def _word_windows(least: int):
 
 
 def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``(row_no, a array<int>, b array<int>)``: the first and last of neighbouring windows that equal earlier ones, for staged ``rows(row_no, doc_id, text)``."""
+    """Staged ``(row_no, a array<int>, b array<int>)``: the first and last of neighbouring windows that equal earlier ones, for staged ``rows(row_no, doc_id, text)``.
+
+    What is joined by fingerprint is staged before, counted, so that Spark may split the rows of a frequent passage."""
+    scratch = Scratch()
 
     def order(at: str):
         return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_no", F.col(at).alias("at"))
 
     def later(at: str):
-        return (F.col("row_no") != F.col("first.row_no")) | (F.col(at) >= F.col("first.at") + least)
+        return (F.col("row_no") != F.col("first_row")) | (F.col(at) >= F.col("first_at") + least)
 
-    entries = stage(rows.mapInPandas(_word_entries(least), "row_no long, doc_id long, a int, b int, fp long, body long"), "words-entries")
+    def flat(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, F.col("first.row_no").alias("first_row"), F.col("first.at").alias("first_at"))
+
+    entries = scratch.stage(rows.mapInPandas(_word_entries(least), "row_no long, doc_id long, a int, b int, fp long, body long"), "words-entries")
     # fingerprints of two entries or more, or of one that can repeat itself
-    again = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("run")).filter((F.col("n") > 1) | (F.col("run") >= least)).select("fp")
-    suspects = stage(entries.join(again, "fp", "left_semi"), "words-suspects")
+    again = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("run")).filter((F.col("n") > 1) | (F.col("run") >= least))
+    again = scratch.stage(again.select("fp"), "words-again")
+    suspects = scratch.stage(entries.join(sized(again), "fp", "left_semi"), "words-suspects")
     discard(entries)
-    firsts = stage(suspects.groupBy("fp", "body").agg(F.min(order("a")).alias("first")), "words-firsts")
-    kinds = firsts.groupBy("fp").agg(F.count("*").alias("kinds"))
-    met = suspects.join(firsts, ["fp", "body"]).withColumn("whole", later("a")).join(kinds, "fp")
-    marked = stage(met.filter(F.col("whole") | (F.col("kinds") > 1) | (F.col("b") - F.col("a") >= least)).select("row_no", "doc_id", "fp", "a", "b", "whole"), "words-marked")
-    discard(suspects)
-    discard(firsts)
+    firsts = scratch.stage(flat(suspects.groupBy("fp", "body").agg(F.min(order("a")).alias("first")), "fp", "body"), "words-firsts")
+    kinds = scratch.stage(firsts.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "words-kinds")
+    met = suspects.join(sized(firsts), ["fp", "body"]).withColumn("whole", later("a")).join(sized(kinds), "fp", "left")
+    marked = scratch.stage(met.filter(F.col("whole") | F.col("kinds").isNotNull() | (F.col("b") - F.col("a") >= least)).select("row_no", "doc_id", "fp", "a", "b", "whole"), "words-marked")
+    for done in (suspects, firsts):
+        discard(done)
     # a row's entries are bounded by its words
-    asked = stage(marked.filter("not whole").groupBy("row_no").agg(F.collect_list(F.struct("a", "b", "fp")).alias("x")).select("row_no", "x.a", "x.b", "x.fp"), "words-asked")
+    asked = scratch.stage(marked.filter("not whole").groupBy("row_no").agg(F.collect_list(F.struct("a", "b", "fp")).alias("x")).select("row_no", "x.a", "x.b", "x.fp"), "words-asked")
     texts = keep_matching(rows, asked.select("row_no"), "row_no").join(asked, "row_no")
-    wins = stage(texts.mapInPandas(_word_windows(least), "row_no long, doc_id long, pos int, fp long, win long"), "words-windows")
+    wins = scratch.stage(texts.mapInPandas(_word_windows(least), "row_no long, doc_id long, pos int, fp long, win long"), "words-windows")
     first = wins.groupBy("fp", "win").agg(F.min(order("pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    single = wins.join(first, ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
+    first = scratch.stage(flat(first, "fp", "win"), "words-firsts")
+    single = wins.join(sized(first), ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
     found = marked.filter("whole").select("row_no", "a", "b").unionByName(single)
     cuts = stage(found.groupBy("row_no").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("row_no", "x.a", "x.b"), "words-cuts")
-    for done in (marked, asked, wins):
-        discard(done)
+    scratch.clear()
     return cuts
 
 
 def without_words(text: str, a: list[int], b: list[int], least: int) -> tuple[list[int], int, str]:
     """Lines deleted, words deleted and what is left when the windows from each ``a`` to ``b`` go."""
-    edge = np.zeros(len(text) + 2, np.int64)
-    np.add.at(edge, np.asarray(a, np.int64), 1)
-    np.add.at(edge, np.asarray(b, np.int64) + least, -1)
-    gone = np.cumsum(edge) > 0
+    gone = _covered(len(text) + 1, a, np.asarray(b, np.int64) + least)
     removed, kept, at, cut = [], [], 0, 0
     for i, line in enumerate(text.split("\n")):
         found = list(_WORD.finditer(line))
-        here = gone[at : at + len(found)].tolist()
+        here = gone[at : at + len(found)]
         at += len(found)
         cut += sum(here)
         if here and all(here):
@@ -270,18 +319,5 @@ def without_words(text: str, a: list[int], b: list[int], least: int) -> tuple[li
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """The columns of :func:`dedup_lines` for repeats of any ``least`` words, and n_words_removed (those of removed lines included)."""
     rows = numbered(docs, id_col, text_col)
-
-    @F.pandas_udf("lines array<int>, words long, text string")
-    def cut(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = [(None, None, None) if t is None or x is None else without_words(t, x, y, least) for t, x, y in zip(text, a, b, strict=True)]
-        return pd.DataFrame(out, columns=["lines", "words", "text"]).astype({"words": "Int64"})
-
-    met = rows.join(repeated_words(rows, least), "row_no", "left").withColumn("x", cut(F.when(F.col("a").isNotNull(), F.col("text")), "a", "b"))
-    return met.select(
-        "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.when(F.col("a").isNull(), 0).otherwise(F.size("x.lines")).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("x.lines").cast("array<string>"), ","), F.lit("")).alias("removed"),
-        F.when(F.col("a").isNull(), F.col("text")).otherwise(F.col("x.text")).alias("text"),
-        F.coalesce("x.words", F.lit(0)).cast("long").alias("n_words_removed"),
-    )
+    met = _with_cuts(rows, repeated_words(rows, least)).withColumn("x", _cut(lambda t, x, y: without_words(t, x, y, least), "lines array<int>, words long, text string"))
+    return _told(met, F.coalesce("x.words", F.lit(0)).cast("long").alias("n_words_removed"))
