@@ -4,9 +4,11 @@ A text longer than ``CHUNK`` code points is encoded in chunks that overlap. Each
 anchored units begin and the tokens before each. Two neighbouring chunks are spliced at an offset within their
 overlap at which both have such a boundary; the vocabulary has no piece that spans it (``check_marks``
 proves that when the model is loaded), so the tokens on either side are those of the whole text. Where the overlap has no common
-boundary, the later chunk starts earlier: the overlap doubles until one is found, or until both chunks are one.
+boundary, the later chunk starts earlier: the overlap doubles until one is found, or until both chunks are one, which then
+doubles its length until it holds one; so a text without spaces costs time in proportion to its length too.
 
-Defined results: a null text counts as empty and has no tokens; repeated rows and null ids are rows like others.
+Defined results: null and empty texts have no tokens and no bytes; very long texts are counted whole; repeated rows and null ids are rows
+like others; an empty table gives no rows; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import claim
 from .units import Kept, units
 
 CHUNK, OVERLAP, LIMIT = 16_384, 256, 4096
@@ -62,21 +65,23 @@ def count(text: str, counts: Kept, chunk: int = CHUNK, overlap: int = OVERLAP) -
     at, before = offsets(text[:end], counts)
     total, base = 0, 0  # tokens before the open chunk's splice point; tokens of the open chunk before that point
     while end < n:
-        width = overlap
-        while True:
+        width, begin = overlap, start
+        while len(at) > 2:
             begin = max(start, end - width)
-            stop = min(n, max(begin + chunk, end + 1))
+            if begin == start:
+                break
+            # as far beyond the open chunk's end as it reaches back, so that a wide overlap is paid for by as much new text
+            stop = min(n, max(begin + chunk, 2 * end - begin))
             at2, before2 = offsets(text[begin:stop], counts)
             # both chunks' inner boundaries: a chunk's own first and last offset are no boundaries of the text
             mine, theirs = at[1:-1] + start, at2[1:-1] + begin
-            common = np.intersect1d(mine, theirs, assume_unique=True) if begin > start else np.zeros(0, np.int64)
-            if len(common) or begin == start:
+            common = np.intersect1d(mine, theirs, assume_unique=True)
+            if len(common):
                 break
             width *= 2
-        if begin == start:  # no stable boundary in the whole chunk: it grows into one with the next
-            stop = min(n, end + chunk)
-            at, before = offsets(text[start:stop], counts)
-            end = stop
+        if begin == start:  # no stable boundary in the whole chunk: it grows to twice its length, so all encodings of it cost some twice the last one
+            end = min(n, start + 2 * (end - start))
+            at, before = offsets(text[start:end], counts)
             continue
         splice = int(common[len(common) // 2])
         total += int(before[np.searchsorted(at, splice - start)]) - base
@@ -89,6 +94,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit. ``model``: the path of a sentencepiece model on every executor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("counts", counter.cache_clear)
         counts = counter(model)
         for pdf in batches:
             texts = [x or "" for x in pdf["text"].tolist()]
