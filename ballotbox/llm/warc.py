@@ -89,15 +89,25 @@ def read_records(spark: SparkSession, from_: Archive) -> DataFrame:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Fields read from the records' own bytes; payload size and digest are those of the full payload."""
-    head = F.decode("header", "UTF-8")
-    field = lambda name: F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    refers = F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(-?\d+):", 1)
+    """Fields read from the records' own bytes, as a reader of a WARC file would: the header up to the first empty line, a block of the stated length, the payload
+    behind the block's HTTP header. A record of another length, or whose payload doesn't match its stated digest, raises. Payload size and digest are
+    those of the full payload, which for a revisit is that of the record it refers to (column ``payload``)."""
+    # one character a byte, so places in the text are places in the bytes
+    plain = lambda c: F.decode(c, F.lit("ISO-8859-1"))
+    parts = records.withColumn("__end", F.instr(plain(F.col("record")), "\r\n\r\n"))
+    parts = parts.withColumn("__head", F.decode(F.substring("record", F.lit(1), F.col("__end") - 1), "UTF-8"))
+    field = lambda name: F.regexp_extract(F.col("__head"), rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+    parts = parts.withColumn("__length", field("Content-Length").cast("int"))
+    whole = F.col("__end") + 3 + F.col("__length") + 4 == F.length("record")
+    parts = parts.withColumn("__block", F.when(whole, F.substring("record", F.col("__end") + 4, F.col("__length"))).otherwise(F.raise_error(F.lit("a record of another length than it states"))))
+    own = F.substring("__block", F.instr(plain(F.col("__block")), "\r\n\r\n") + 4, F.col("__length"))
+    parts = parts.withColumn("__payload", F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(own))
     stated = F.regexp_extract(field("WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1)
-    return records.select(
+    refers = F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(-?\d+):", 1)
+    return parts.select(
         "page_id",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        stated.alias("payload_digest"),
+        F.length("__payload").cast("long").alias("payload_bytes"),
+        F.when(F.sha2("__payload", 256) == stated, stated).otherwise(F.raise_error(F.lit("a payload does not match its digest"))).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
         field("WARC-Target-URI").alias("target_uri"),
