@@ -22,14 +22,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     of their id. Rows with null labels, ids or texts, and texts beyond ``longest``, give nothing to the fit."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter("__id is not null and y in (0, 1)")
     known = known.groupBy("__id").agg(F.max("y").alias("y")).filter(fold("__id", folds) != held).withColumn("r", F.xxhash64("__id"))
-    some = [known.filter(F.col("y") == y).orderBy("r", "__id").limit(2 * per_class) for y in (0, 1)]
+    # a quarter more than are used: some have no text or a long one
+    some = [known.filter(F.col("y") == y).orderBy("r", "__id").limit(per_class + per_class // 4) for y in (0, 1)]
     picked = pd.concat([x.toPandas() for x in some])
     if not len(picked):
         return pd.DataFrame({"text": [], "y": [], "r": []})
     chosen = docs.sparkSession.createDataFrame(picked)
-    # at most 4 x per_class ids are broadcast, and as many texts of bounded length come back
+    # at most 2.5 x per_class ids are broadcast, and as many texts of bounded length come back
     texts = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    found = texts.groupBy("__id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("r").alias("r")).toPandas()
+    found = texts.groupBy("__id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("r").alias("r")).toArrow().to_pandas()
     return found.sort_values(["r", "__id"]).groupby("y").head(per_class)[["text", "y", "r"]].reset_index(drop=True)
 
 
@@ -48,3 +49,11 @@ def cut_between(scores: np.ndarray, y: np.ndarray, below1: float = 1.0, above0:
 def at_threshold(logits: np.ndarray, cut: np.ndarray | float) -> np.ndarray:
     """Probabilities whose 0.3 lies at ``cut``."""
     return 1 / (1 + np.exp(-np.clip(logits - cut + np.log(THRESHOLD / (1 - THRESHOLD)), -50, 50)))
+
+
+def flagged(docs: DataFrame, keep: Column) -> DataFrame:
+    """``docs`` where ``keep`` holds; all columns as they were, whatever their names."""
+    name = "__keep"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, keep).filter(F.col(name)).drop(name)

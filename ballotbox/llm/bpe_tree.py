@@ -6,7 +6,9 @@ without an anchor inside becomes an open end of the joined node and grows with t
 both sides. A cut at an anchor depends on no text around it (see ``units``), so tokens outside such a window provably stay. Joining
 is associative, so any shape of the tree gives the same ids. Decoding maps each leaf's ids to bytes and concatenates up the same tree.
 
-Defined results: a null text counts as empty; an empty text has no ids; repeated rows and null ids are rows like others.
+Defined results: a null text counts as empty; an empty text has no ids; very long texts are encoded whole, one without anchors being re-encoded at each
+of the tree's levels; repeated rows and null ids are rows like others; an empty table gives no rows; further columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import claim
 from .units import ANCHOR, Encoder, rank_bytes, rank_encoder, units
 
 LEAF = 2048
@@ -90,6 +93,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("bpe", rank_encoder.cache_clear)
         encoder, table = rank_encoder(ranks, pattern), rank_bytes(ranks)
         for pdf in batches:
             out = []

@@ -8,8 +8,8 @@ powers of two, which need no padding, are transitions of their own. A block's la
 into the next block, so only a partition's last window is padded for want of text.
 
 Defined results: a null or empty text is its closing id alone; repeated rows and null ids are documents like others;
-an empty table gives no pieces; further columns are ignored. Nothing is shuffled: a partition packs what it reads, and
-sequence ids are unique over partitions.
+an empty table gives no pieces; very long texts are packed whole, in as many windows as they need; further columns are ignored whatever their
+names. Nothing is shuffled: a partition packs what it reads, and sequence ids are unique over partitions.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import claim
 from .units import Encoder, units
 
 SIZE = 2048
@@ -37,13 +38,22 @@ SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?= )|\n")
 SPECIAL = "<|endoftext|>"
 
 
+def read_file(path: str) -> dict:
+    """A tokenizers file whose texts may be encoded unit by unit: byte-level, split by the usual pattern, no normaliser, no space put in front. Others raise."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    split = file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        raise ValueError("a tokenizer that isn't byte-level or changes texts before it splits them: units can't be encoded on their own")
+    return file
+
+
 def merge_ranks(path: str) -> dict[bytes, int] | None:
     """bytes -> id of a byte-level BPE file whose ids are its merge order; None if the file is of another kind.
 
     Encoding by lowest rank is then the same as by the file's merges.
     """
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = read_file(path)["model"]
     vocab, merges = model["vocab"], [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
     # the usual printable stand-ins of bytes: printable ones stand for themselves, the others follow from 256 on
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -139,6 +149,7 @@ def _pack(path: str, size: int, closing: int, block: int):
     end_bytes = np.asarray([closing], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing", encoder.cache_clear)
         encode = encoder(path)
         sequence = TaskContext.get().partitionId() << 32
         # the open stream: (doc_id, tokens of the document, its ids from ``start`` on, start, sentence ends from start on)

@@ -6,7 +6,9 @@ filters of ``WIDTH`` bytes run over each chunk at every second byte, together wi
 into a chunk score; mean, least and greatest chunk score combine into one probability, in which 0.3 is the threshold
 tuned on the fit's own validation part. Inputs are the text's bytes alone.
 
-Defined results: null and empty texts are scored as no bytes (a constant); without labels of both classes every score is 0.5.
+Defined results: null and empty texts are scored as no bytes (a constant); very long texts are scored whole, chunk by chunk; repeated
+rows and null ids are rows like others; an empty table gives no rows; further columns take no part, whatever their names; without
+labels of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._fit import THRESHOLD, at_threshold, cut_between, fold, sample
+from ._common import claim, give_back
+from ._fit import THRESHOLD, at_threshold, cut_between, flagged, fold, sample
 
 CHUNK, STEP, WIDTH, FILTERS, LEVELS, BINS = 1024, 896, 6, 16, 8, 1024
 FOLDS, HELD = 5, 0
 _BATCH = 96
+#: Texts whose chunks are held at once.
+_TEXTS = 256
 
 
 def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,25 +185,42 @@ def _mixture(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """A network fitted on the labelled rows outside the held-out fold; None without rows of both classes."""
     rows = sample(docs, labels, "quality", FOLDS, HELD)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64))
+    net = fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64))
+    del rows
+    give_back()
+    return net
 
 
-def score(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` and score, held_out, predicted. The network (13 MB with its pair tables, built on the executors) travels as a broadcast of 0.1 MB."""
-    spark = docs.sparkSession
+def probability(spark: SparkSession, net: Network | None):
+    """The score as a function of a text column. The network (13 MB with its pair tables, built on the executors) travels as a broadcast of 0.1 MB."""
     model = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model.value
+
+        def drop() -> None:
+            if own is not None:
+                own.pairs = None
+
+        claim("quality", drop)
         for x in parts:
-            yield pd.Series(np.full(len(x), 0.5) if own is None else own.probabilities(x.tolist()))
+            texts = x.tolist()
+            yield pd.Series(np.full(len(texts), 0.5) if own is None else np.concatenate([np.zeros(0), *(own.probabilities(texts[i : i + _TEXTS]) for i in range(0, len(texts), _TEXTS))]))
+
+    return of
+
 
-    scored = docs.withColumn("__score", probability(F.col(text_col)))
-    return scored.select(*columns, (fold("doc_id", FOLDS) == HELD).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``."""
+    scored = docs.select(F.col(id_col).alias("doc_id"), probability(docs.sparkSession, net)(F.col(text_col)).alias("score"))
+    return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` that are not predicted to be of low quality, all columns as they were."""
-    return score(docs, net, tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """``docs`` that are not predicted to be of low quality, all columns as they were, whatever their names; all of them without a model."""
+    if net is None:
+        return docs
+    return flagged(docs, probability(docs.sparkSession, net)(F.col(text_col)) >= THRESHOLD)

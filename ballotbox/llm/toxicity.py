@@ -6,8 +6,9 @@ first dimension starts from the buckets' class association in the fit's sample,
 Thresholds are calibrated by language: the language is guessed from the text's own function words, and each language's tuned
 threshold is put at 0.3. Inputs are the text's words alone.
 
-Defined results: null and empty texts have no words and a constant score; without labels of both classes every score is 0.5; a
-language with too few labelled texts uses the threshold of all.
+Defined results: null and empty texts have no words and a constant score; very long texts are scored whole; repeated rows and null ids are
+rows like others; an empty table gives no rows; further columns take no part, whatever their names; without labels of both classes
+every score is 0.5; a language with too few labelled texts uses the threshold of all.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._fit import THRESHOLD, at_threshold, cut_between, fold, sample
+from ._common import claim, give_back
+from ._fit import THRESHOLD, at_threshold, cut_between, flagged, fold, sample
 
 BUCKETS, DIM, WIDTHS, PER_WIDTH = 1 << 18, 8, (1, 2, 3), 6
 PREFIXES = (3, 4, 5, 6, 7)
 FOLDS, HELD = 4, 2
-KEPT_WORDS = 800_000
+#: Words whose embeddings a task keeps: some 250 bytes each.
+KEPT_WORDS = 400_000
 #: Common function words by language, for the guess only.
 FUNCTION_WORDS = {
     "en": "the of and to in is that with for was",
@@ -244,27 +247,37 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, seed: int = 11) -> Net
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """A network fitted on the labelled rows outside the held-out fold; None without rows of both classes."""
     rows = sample(docs, labels, "toxic", FOLDS, HELD, per_class=2000)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64))
+    net = fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64))
+    del rows
+    give_back()
+    return net
 
 
-def score(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` and score, held_out, predicted. The network (8 MB) is broadcast; its size is a constant."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+def probability(spark: SparkSession, net: Network | None):
+    """The score as a function of a text column. The network (8 MB) is broadcast; its size is a constant."""
+    model = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model.value
         words = own and own.words()
+        claim("toxicity", words.reset if words else lambda: None)
         for x in parts:
             yield pd.Series(np.full(len(x), 0.5) if own is None else own.probabilities(x.tolist(), words))
 
-    scored = docs.withColumn("__score", probability(F.col(text_col)))
-    return scored.select(*columns, (fold("doc_id", FOLDS) == HELD).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return of
+
+
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``."""
+    scored = docs.select(F.col(id_col).alias("doc_id"), probability(docs.sparkSession, net)(F.col(text_col)).alias("score"))
+    return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_civil(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` that are not predicted to be toxic, all columns as they were; all of them without a model (no labels of both classes)."""
+def keep_civil(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """``docs`` that are not predicted to be toxic, all columns as they were, whatever their names; all of them without a model (no labels of both classes)."""
     if net is None:
         return docs
-    return score(docs, net, tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    return flagged(docs, probability(docs.sparkSession, net)(F.col(text_col)) < THRESHOLD)
