@@ -51,3 +51,58 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+#: Columns that the operators use inside too.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, predicted int, score double, held_out boolean, h1 long, digest string, key string, node long, kind int, part int, `__keep` int"
+LONG = " ".join(f"word{i}" for i in range(30))
+
+
+def rows_of(spark, some):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 0.0, None, 1, "d", "k", k, 0, 0, 3) for k, (i, t) in enumerate(some)], SCHEMA)
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+ODD = [(1, LONG), (5, LONG), (5, "quite another text of its own"), (5, "quite another text of its own"), (None, "no id"), (None, None), (7, ""), (8, None), (8, "a"), (9, LONG + " x"), (None, LONG), (10, "z" * 300_000)]
+
+
+def test_stages_on_odd_rows(spark):
+    steps, df = dict(corpus_pipeline.STAGES), rows_of(spark, ODD).repartition(3)
+    for name in ("quality", "toxicity"):
+        got = steps[name](spark, df, SF)
+        assert got.columns == df.columns and set(kept(got)) <= set(ODD) and got.schema == df.schema
+        assert steps[name](spark, df.limit(0), SF).count() == 0
+
+    got = steps["exact dedup"](spark, df, SF)
+    assert got.columns == df.columns
+    assert kept(got) == kept(rows_of(spark, [(1, LONG), (5, "quite another text of its own"), (None, "no id"), (7, ""), (8, "a"), (9, LONG + " x"), (10, "z" * 300_000)]))
+    assert steps["exact dedup"](spark, df.limit(0), SF).count() == 0
+
+    got = steps["n-gram join"](spark, df, SF)
+    assert got.columns == df.columns
+    wordless = [(None, None), (7, ""), (8, None)]
+    assert kept(got) == kept(rows_of(spark, [(1, LONG), (5, "quite another text of its own"), (None, "no id"), (8, "a"), (10, "z" * 300_000), *wordless]))
+    assert steps["n-gram join"](spark, df.limit(0), SF).count() == 0
+
+    assert steps["packing"](spark, df, SF).filter("start = 0").count() == len(ODD)
+    assert steps["packing"](spark, df.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    """Unrelated documents that share an id stay; of rows that are equal in both, and of null ids, one of a group stays."""
+    other = " ".join(f"other{i}" for i in range(30))
+    some = [(1, LONG), (5, LONG), (5, other), (1, LONG), (None, other + " y"), (None, "alone " + LONG[:40]), (6, other + " z")]
+    got = corpus_pipeline.unlike(spark, rows_of(spark, some), SF)
+    assert kept(got) == kept(rows_of(spark, [(1, LONG), (5, other), (None, "alone " + LONG[:40])]))
+
+
+def test_run_is_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, SF)
+    key = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert sum(r.length for r in docs.collect()) == sum(r.length for r in corpus_pipeline.run(spark, SF).collect())
+    assert {r.doc_id for r in docs.select(*key).collect()} == {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
