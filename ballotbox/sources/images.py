@@ -1,8 +1,9 @@
-"""Image files as rows: formats by magic bytes, sizes from headers, pixels where the JVM's or our own readers can."""
+"""Image files as rows: formats by magic bytes, sizes from headers, the error envelope, preprocessing, and models over images."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,21 +12,18 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidImage
 from ..functions.geometry import LONGEST
-from ..operators.postprocess import family
-
-#: Leading bytes (hex) of the formats on the allow list; WEBP and HEIF carry theirs at byte 8 and 4.
-MAGIC = {"jpeg": ["FFD8FF"], "png": ["89504E470D0A1A0A"], "gif": ["474946383761", "474946383961"], "bmp": ["424D"], "tiff": ["49492A00", "4D4D002A"], "ico": ["00000100"], "ppm": ["5033", "5036"]}
-
+from ..operators.postprocess import family, stated
+from .pixels import BRANDS, MAGIC, content_of, decode, header_size, kind_of, ppm, rgb, size_checked, to_ppm
 
 def image_format(content: Column) -> Column:
     """The format by leading bytes, null if it isn't on the list."""
     head = F.hex(F.substring(content, 1, 16))
     out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
-    out = out.when((F.substring(head, 9, 8) == "66747970") & F.substring(head, 17, 8).isin("68656963", "6D696631"), "heif")
-    out = out.when((F.substring(head, 9, 8) == "66747970") & (F.substring(head, 17, 8) == "61766966"), "avif")
+    for name, brands in BRANDS.items():
+        out = out.when((F.substring(head, 9, 8) == "66747970") & F.substring(head, 17, 8).isin([b.hex().upper() for b in brands]), name)
     for name, heads in MAGIC.items():
         for h in heads:
-            out = out.when(head.startswith(h), name)
+            out = out.when(head.startswith(h.hex().upper()), name)
     return out
 
 
@@ -64,32 +62,71 @@ def sampled(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return files if n < 1 else files.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(n)
 
 
-def parse_ppm(content: bytes) -> np.ndarray:
-    """Binary PPM/PGM to RGB rows."""
-    fields, at = [], 0
-    while len(fields) < 4:
-        if at >= len(content):
-            raise InvalidImage("a header that is cut short")
-        while content[at : at + 1].isspace():
-            at += 1
-        if content[at : at + 1] == b"#":
-            at = content.index(b"\n", at)
-            continue
-        end = at
-        while not content[end : end + 1].isspace():
-            if end >= len(content):
-                raise InvalidImage("a header that is cut short")
-            end += 1
-        fields.append(content[at:end])
-        at = end
-    w, h, channels = int(fields[1]), int(fields[2]), 3 if fields[0] == b"P6" else 1
-    return rgb(np.frombuffer(content, np.uint8, w * h * channels, at + 1).reshape(h, w, channels))
-
-
-def rgb(pixels: np.ndarray) -> np.ndarray:
-    """Grey, grey with one channel, RGB or RGBA to RGB."""
-    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
-    return np.repeat(pixels, 3, 2) if pixels.shape[2] == 1 else np.ascontiguousarray(pixels[:, :, :3])
+def probed(rows: DataFrame, decoded: bool = False) -> DataFrame:
+    """Like :func:`checked` for every format whose header this package reads, bombs told apart; with ``decoded`` the pixels are read too, so a file that is cut short or
+    has no reader is told. Nothing is raised: what is wrong stands in ``error``."""
+
+    @F.pandas_udf("format string, width int, height int, type string, message string")
+    def probe(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_probe(c, decoded) for c in contents], columns=["format", "width", "height", "type", "message"]).astype({"width": "Int32", "height": "Int32"})
+
+    rows = rows.withColumn("__p", probe("content"))
+    error = F.when(F.col("__p.type").isNotNull(), F.struct("__p.type", "__p.message"))
+    return rows.withColumns({"format": F.col("__p.format"), "width": F.col("__p.width"), "height": F.col("__p.height"), "error": error}).drop("__p")
+
+
+def _probe(content: bytes | None, decoded: bool) -> tuple:
+    kind, size = kind_of(bytes(content)) if content else None, (None, None)
+    try:
+        if not content:
+            raise InvalidImage("no content")
+        if kind is None:
+            raise InvalidImage("not an image of a known format")
+        try:
+            size = header_size(bytes(content), kind) or size
+        except InvalidImage:
+            raise
+        except Exception as e:  # noqa: BLE001  a header may be cut anywhere
+            raise InvalidImage(f"a {kind} header that can't be read: {type(e).__name__}") from e
+        if size[0] is not None:
+            size_checked(*size)
+        if decoded:
+            h, w = decode(content).shape[:2]
+            size = (w, h)
+        return kind, *size, None, None
+    except InvalidImage as e:
+        return kind, *size, type(e).__name__, str(e)
+
+
+def table_of(spark: SparkSession, inputs: Iterable) -> DataFrame:
+    """(image_id, path, content, format, width, height, error) of inputs of any kind (paths, bytes, binary streams, arrays), in their order. The driver reads them: for files of a
+    whole corpus use :func:`read_files`."""
+    rows = []
+    for i, x in enumerate(inputs):
+        try:
+            rows.append((i, os.fspath(x) if isinstance(x, str | os.PathLike) else None, content_of(x), None))
+        except InvalidImage as e:
+            rows.append((i, os.fspath(x) if isinstance(x, str | os.PathLike) else None, None, str(e)))
+    out = probed(spark.createDataFrame(rows, "image_id bigint, path string, content binary, said string"))
+    told = F.when(F.col("said").isNotNull(), F.struct(F.lit(InvalidImage.__name__).alias("type"), F.col("said").alias("message"))).otherwise(F.col("error"))
+    return out.withColumn("error", told).drop("said")
+
+
+def write_results(results: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A scan's results: ``parquet`` or ``json`` as they are, ``text`` one line a detection."""
+    if kind == "text":
+        lines(results).write.text(path)
+    else:
+        results.write.format(kind).save(path)
+
+
+def lines(results: DataFrame) -> DataFrame:
+    """``symbology score [x1, y1, x2, y2] payload`` of each detection."""
+    d = results.select("image_id", F.posexplode("detections").alias("i", "d")).select("image_id", "i", "d.*")
+    return d.select(F.format_string("%s %.3f [%.1f, %.1f, %.1f, %.1f] %s", "symbology", "score", "x1", "y1", "x2", "y2", F.coalesce("payload", F.lit("-"))).alias("value"))
+
+
+parse_ppm = ppm
 
 
 def bgr(pixels: np.ndarray) -> np.ndarray:
@@ -142,19 +179,14 @@ def shrunk(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def preprocessed(content: bytes, longest: int = LONGEST) -> tuple[bytes, float, float]:
-    """A PPM or PGM file downscaled to ``longest`` pixels and autocontrasted, as PPM, and the factors of width and height back to the original."""
-    if content is None or bytes(content[:2]) not in (b"P5", b"P6"):
-        raise InvalidImage("preprocessing reads binary PPM and PGM alone")
-    pixels = parse_ppm(content)
+    """An image downscaled to ``longest`` pixels and autocontrasted, as PPM, and the factors of width and height back to the original."""
+    pixels = decode(content)
     h, w = pixels.shape[:2]
-    if min(h, w) < 1:
-        raise InvalidImage("an image without pixels")
     nw, nh = w, h
     if max(w, h) > longest:
         ratio = longest / max(w, h)
         nw, nh = max(1, int(w * ratio)), max(1, int(h * ratio))
-    out = autocontrast(shrunk(pixels, nw, nh))
-    return b"P6\n%d %d\n255\n" % (nw, nh) + out.tobytes(), w / nw, h / nh
+    return to_ppm(autocontrast(shrunk(pixels, nw, nh))), w / nw, h / nh
 
 
 def letterboxed(pixels: np.ndarray, size: int = 640) -> tuple[np.ndarray, float]:
@@ -176,23 +208,26 @@ def anchor_rows(outputs: list[np.ndarray], arch: str | None) -> np.ndarray:
     return outputs[0][0].T if layout == "yolo11" else outputs[0][0]
 
 
-def infer(images: DataFrame, model: str, arch: str | None = None) -> DataFrame:
-    """``images(image_id, content)`` (PPM) through an ONNX file to ``anchors(image_id, anchor_ix, feat, ratio, width, height)``.
+def infer(images: DataFrame, model: str, arch: str | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """``images(image_id, content)`` through an ONNX file to ``anchors(image_id, anchor_ix, feat, ratio, width, height)``. Images that can't be read give none.
 
     The session is built once per Python worker; the input's name is the session's own, and so is ``arch`` where none is given.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import onnxruntime
+        from .models import providers, session
 
-        session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
-        name = session.get_inputs()[0].name
-        layout = arch or session.get_modelmeta().custom_metadata_map.get("arbez_arch")
+        own = session(model, tuple(providers(wanted)))
+        name = own.get_inputs()[0].name
+        layout = arch or stated(dict(own.get_modelmeta().custom_metadata_map), "arch")
         for pdf in batches:
             for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
-                pixels = parse_ppm(content)
+                try:
+                    pixels = decode(content)
+                except InvalidImage:
+                    continue
                 tensor, ratio = letterboxed(pixels)
-                rows = anchor_rows(session.run(None, {name: tensor}), layout)
+                rows = anchor_rows(own.run(None, {name: tensor}), layout)
                 yield pd.DataFrame({"image_id": image_id, "anchor_ix": np.arange(len(rows)), "feat": list(rows.astype(np.float64)), "ratio": ratio, "width": pixels.shape[1], "height": pixels.shape[0]})
 
-    return images.mapInPandas(run, "image_id bigint, anchor_ix int, feat array<double>, ratio double, width int, height int")
+    return images.select("image_id", "content").mapInPandas(run, "image_id bigint, anchor_ix int, feat array<double>, ratio double, width int, height int")
