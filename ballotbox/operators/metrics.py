@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,8 +118,9 @@ def quadrants(stats: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(medians)).select("engine", "ms", "recall", label.alias("quadrant"))
 
 
-def ground_truth(truth: DataFrame, det: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Precision, recall and F1 per engine: boxes take the free true box of largest overlap, best score first, over images with truth.
+def ground_truth(truth: DataFrame, det: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("engine",)) -> DataFrame:
+    """Precision, recall and F1 per engine: boxes take the free true box of largest overlap, best score first, over images with truth. With ``by`` ("engine", "symbology") a true
+    box counts under its own symbology, a detection that takes none under the one it claims.
 
     Candidates come from an equi-join on the image; the one-to-one choice is a fold over an image's candidates.
     """
@@ -130,12 +131,35 @@ def ground_truth(truth: DataFrame, det: DataFrame, threshold: float = 0.5) -> Da
     chosen = near.groupBy("image_id", "engine").agg(F.array_sort(F.collect_list(item)).alias("all"))
     kind = "array<struct<d:int,g:int,same:boolean>>"
     pick = lambda k, x: F.when(F.exists(k, lambda y: (y["d"] == x["d"]) | (y["g"] == x["g"])), k).otherwise(F.concat(k, F.array(F.struct(x["d"].alias("d"), x["g"].alias("g"), x["same"].alias("same")))))
-    hit = chosen.withColumn("k", F.aggregate("all", F.array().cast(kind), pick)).groupBy("engine").agg(F.sum(F.size("k")).alias("tp"), F.sum(F.size(F.filter("k", lambda y: y["same"]))).alias("payload_correct"))
-    seen = det.join(truth.select("image_id").distinct(), "image_id", "left_semi").groupBy("engine").agg(F.count("*").alias("n"))
-    total = truth.agg(F.count("*").alias("t"))
-    out = seen.join(hit, "engine", "left").join(F.broadcast(total)).fillna(0, ["tp", "payload_correct"])
-    p, r = F.col("tp") / F.col("n"), F.col("tp") / F.col("t")
-    return out.select("engine", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), "payload_correct", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+    hit = chosen.withColumn("k", F.explode(F.aggregate("all", F.array().cast(kind), pick))).select("image_id", "engine", "k.d", "k.g", "k.same")
+    own = det.join(truth.select("image_id").distinct(), "image_id", "left_semi").select("image_id", "engine", F.col("det_ix").alias("d"), "symbology")
+    marked = own.join(hit, ["image_id", "engine", "d"], "left").join(truth.select("image_id", F.col("det_ix").alias("g"), F.col("symbology").alias("true_symbology")), ["image_id", "g"], "left")
+    marked = marked.withColumn("symbology", F.coalesce("true_symbology", "symbology"))
+    seen = marked.groupBy(*by).agg(F.count("*").alias("n"), F.count("g").alias("tp"), F.count_if("same").alias("payload_correct"))
+    engines = det.select("engine").distinct()
+    rest = [c for c in by if c != "engine"]
+    total = truth.groupBy(*rest).agg(F.count("*").alias("t"))
+    # a handful of engines beside a handful of symbologies
+    frame = engines.join(F.broadcast(total)) if rest else seen.select("engine").join(F.broadcast(total))
+    out = frame.join(seen, list(by), "full" if rest else "inner").fillna(0, ["t", "n", "tp", "payload_correct"])
+    p, r = F.try_divide(F.col("tp"), F.col("n")), F.try_divide(F.col("tp"), F.col("t"))
+    return out.select(*by, "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), "payload_correct", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+#: One image's true codes as a JSON line.
+TRUTH = "image_id bigint, codes array<struct<x1:double,y1:double,x2:double,y2:double,symbology:string,payload:string>>"
+
+
+def load_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth from JSON lines of :data:`TRUTH`, a row a code; a line that doesn't fit fails the job."""
+    codes = spark.read.schema(TRUTH).option("mode", "FAILFAST").json(path)
+    return codes.select("image_id", F.posexplode("codes").alias("det_ix", "c")).select("image_id", "det_ix", "c.*")
+
+
+def sweep(results: DataFrame) -> DataFrame:
+    """Scans and decodes of a scan's results, images without a single engine that ran left out."""
+    whole = results.filter(F.size("raw") > F.coalesce(F.size("errors"), F.lit(0))) if "errors" in results.columns else results
+    return whole.agg(F.count("*").alias("scans"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"), F.coalesce(F.sum(F.size(F.filter("detections", lambda d: d["payload"].isNotNull()))), F.lit(0)).cast("long").alias("decodes"))
 
 
 def latency(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import suppressed
 from ..functions.geometry import LETTERBOX, centre_to_corners, sigmoid
-from ..schema import OTHER, dim_model_class
+from ..schema import OTHER, OWN, dim_model_class
 
 CONFIDENCE, NMS = 0.25, 0.45
 OFFSET = {"yolox": 5, "yolo11": 4, "rtdetr": 4}
@@ -25,14 +25,20 @@ def family(arch: str | None) -> str:
 
 def engine_name(arch: str | None, explicit: str | None = None) -> str:
     name = (arch or "yolox_s").lower()
-    return explicit or ("arbez-rtdetr" if name.startswith("rtdetr") else "arbez-yolo11" if name.startswith("yolo11") else "arbez" if name.startswith("yolox") else f"arbez-{name}")
+    layout = next((x for x in ("rtdetr", "yolo11", "yolox") if name.startswith(x)), name)
+    return explicit or (OWN if layout == "yolox" else f"{OWN}-{layout}")
+
+
+def stated(metadata: dict[str, str], key: str) -> str | None:
+    """A model's own metadata by the key's last part: tools put a prefix of their own before it (``<prefix>_num_classes``)."""
+    return next((v for k, v in sorted(metadata.items()) if k == key or k.endswith(f"_{key}")), None)
 
 
 def num_classes(metadata: dict[str, str], features: int | None, layout: str = "yolox") -> int:
     """From the model's own metadata, else from the row width of its layout, else 9."""
-    stated = metadata.get("arbez_num_classes")
-    if stated is not None and stated.strip().isdigit():
-        return int(stated)
+    said = stated(metadata, "num_classes")
+    if said is not None and said.strip().isdigit():
+        return int(said)
     return features - OFFSET[layout] if features else 9
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EngineMissing
+from ..errors import EngineFailed, EngineMissing, InvalidImage
 from ..functions.geometry import BOX, downscaled, rescaled_polygon
 from ..operators.consensus import IOU, fan_out, merge
-from ..schema import DETECTIONS, ENGINES
-from ..sources.images import preprocessed
+from ..schema import DETECTIONS, ENGINES, OWN, POLYGON
+from ..sources.images import preprocessed, table_of
+from ..sources.pixels import to_ppm
 
 
 @runtime_checkable
@@ -79,66 +85,109 @@ def attempt(engine: Engine, content: bytes, preprocess: str) -> list[dict]:
     return found if sx == sy == 1 else [in_original(d, sx, sy) for d in found]
 
 
-def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None, preprocess: str = "off") -> DataFrame:
-    """Detections of one engine over ``images(image_id, content)``. An image on which the engine raises gives no rows, so one engine never
-    fails the others; ``detect_errors`` tells why. With ``preprocess`` 'auto' the engine gets each image downscaled and
-    autocontrasted; images other than PPM and PGM then give no rows."""
-    make = factory or REGISTRY[name]
-    columns = [x.split()[0] for x in DETECTIONS.split(", ")]
+#: What ``scanned`` gives: detections (kind "found"), and for each image and engine one row (kind "run") with its time and its error.
+SCANNED = f"kind string, {DETECTIONS}, ms double, preprocess_ms double, error_type string, error_message string"
+_FIELDS, _ALL = ([x.split()[0] for x in s.split(", ")] for s in (DETECTIONS, SCANNED))
+
+
+def scanned(images: DataFrame, engines: dict[str, Callable[[], Engine]], preprocess: str = "off") -> DataFrame:
+    """All engines over ``images(image_id, content)`` in one pass: each image is read and preprocessed once for all of them, each engine is built once a task.
+
+    An engine that raises contributes nothing but its error, so one engine never fails the others.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = make()
-        for pdf in batches:
-            rows = []
-            for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
-                try:
-                    found = attempt(engine, content, preprocess)
-                except Exception:  # noqa: BLE001  an engine may raise anything; its contribution is then empty
-                    found = []
-                rows += [{"image_id": image_id, "engine": name, "det_ix": i, "engine_rank": 0, "polygon": None, "extras": {}, "payload": None, "score": 1.0} | d for i, d in enumerate(found)]
-            yield pd.DataFrame(rows, columns=columns)
+        built = {name: make() for name, make in engines.items()}
+        try:
+            for pdf in batches:
+                out = []
+                for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
+                    out += _scan_one(image_id, content, built, preprocess)
+                yield pd.DataFrame(out, columns=_ALL).astype({"det_ix": "Int64", "engine_rank": "Int64"})
+        finally:
+            for engine in built.values():
+                getattr(engine, "close", lambda: None)()
+
+    return images.select("image_id", "content").mapInPandas(run, SCANNED)
+
+
+def _scan_one(image_id: int, content: bytes, engines: dict[str, Engine], preprocess: str) -> list[dict]:
+    out, sx, sy, early, preprocess_ms = [], 1.0, 1.0, None, None
+    if preprocess != "off":
+        began = time.perf_counter()
+        try:
+            content, sx, sy = preprocessed(content)
+        except InvalidImage as e:
+            early = e
+        preprocess_ms = (time.perf_counter() - began) * 1000
+    for rank, (name, engine) in enumerate(engines.items()):
+        began, error, found = time.perf_counter(), early, []
+        if early is None:
+            try:
+                found = list(engine.detect_and_decode(content))
+            except Exception as e:  # noqa: BLE001  an engine may raise anything; its contribution is then empty
+                error = e
+        ms = (time.perf_counter() - began) * 1000
+        found = found if sx == sy == 1 else [in_original(d, sx, sy) for d in found]
+        blank = dict.fromkeys(_ALL) | {"image_id": image_id, "engine": name, "engine_rank": rank}
+        out += [blank | {"kind": "found", "det_ix": i, "extras": {}, "score": 1.0} | {k: v for k, v in d.items() if k in _FIELDS} | {"engine": name} for i, d in enumerate(found)]
+        out.append(blank | {"kind": "run", "ms": ms, "preprocess_ms": preprocess_ms, "error_type": error and type(error).__name__, "error_message": error and str(error)})
+    return out
+
 
-    return images.select("image_id", "content").mapInPandas(run, DETECTIONS)
+def detect(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None, preprocess: str = "off") -> DataFrame:
+    """Detections of one engine over ``images(image_id, content)``. An image on which the engine raises gives no rows; ``detect_errors`` tells why.
+    With ``preprocess`` 'auto' the engine gets each image downscaled and autocontrasted; images that can't be read then give no rows."""
+    return scanned(images, {name: factory or REGISTRY[name]}, preprocess).filter("kind = 'found'").select(*_FIELDS)
 
 
 def detect_errors(images: DataFrame, name: str, factory: Callable[[], Engine] | None = None, preprocess: str = "off") -> DataFrame:
-    """``(image_id, engine, type, message)`` of the images on which the engine raises in ``detect``; runs the engine anew."""
-    make = factory or REGISTRY[name]
+    """``(image_id, engine, type, message)`` of the images on which the engine raises in ``detect``; runs the engine anew (a ``Scanner`` doesn't)."""
+    runs = scanned(images, {name: factory or REGISTRY[name]}, preprocess).filter("error_type is not null")
+    return runs.select("image_id", "engine", F.col("error_type").alias("type"), F.col("error_message").alias("message"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = make()
-        for pdf in batches:
-            rows = []
-            for image_id, content in zip(pdf["image_id"], pdf["content"], strict=True):
-                try:
-                    attempt(engine, content, preprocess)
-                except Exception as e:  # noqa: BLE001  as in detect
-                    rows.append((image_id, name, type(e).__name__, str(e)))
-            yield pd.DataFrame(rows, columns=["image_id", "engine", "type", "message"])
 
-    return images.select("image_id", "content").mapInPandas(run, "image_id bigint, engine string, type string, message string")
+_MERGED = ("engine", "symbology", "payload", "score", *BOX, "polygon", "extras", "voted_by", "vote_count", "agreed_payloads", "source_count")
+_RAW = ("engine", "symbology", "payload", "score", *BOX, "polygon", "extras")
 
 
 class Scanner:
-    """``engine``: one engine, its detections as they are. ``engines``: several, merged where at least ``consensus`` of them agree (1: union)."""
+    """``engine``: one engine (its name, or an object with ``name`` and ``detect_and_decode``), its detections as they are. ``engines``: several by name, or name -> factory for
+    a mix of own ones, merged where at least ``consensus`` of them agree (1: union). Neither: all that are installed.
+
+    A scanner keeps the detections of its scans (not the images) persisted, so that voting, raw detections, times and errors come from one run of the
+    engines; ``close``, or the end of a ``with`` block, releases them. It may be used again afterwards.
+    """
 
-    def __init__(self, engine: str | None = None, *, engines=None, consensus: int = 1, preprocess: str = "off", iou_threshold: float = IOU):
+    def __init__(self, engine: str | Engine | None = None, *, engines=None, consensus: int = 1, preprocess: str = "off", iou_threshold: float = IOU, model=None):
+        if model is not None:
+            raise NotImplementedError("model is reserved: register an engine for own weights and name it")
         if engine is not None and engines is not None:
             raise ValueError("engine and engines exclude one another")
-        if engine in ("auto", "consensus"):
-            raise ValueError(f"engine {engine!r} is no engine")
         if isinstance(consensus, bool) or not isinstance(consensus, int):
             raise TypeError("consensus must be an int")
         if consensus < 1:
             raise ValueError("consensus must be 1 or more")
+        if not 0 <= iou_threshold <= 1:
+            raise ValueError("iou_threshold must be in [0, 1]")
         if preprocess not in ("off", "auto"):
             raise ValueError("preprocess must be 'off' or 'auto'")
         if engine is not None and consensus != 1:
             raise ValueError("consensus needs several engines")
-        self.engines = check_subset((engine,) if engine is not None else engines if engines is not None else installed())
+        self.consensus, self.preprocess, self.iou_threshold, self._held = consensus, preprocess, iou_threshold, []
+        if engine is not None and not isinstance(engine, str):
+            if not isinstance(engine, Engine):
+                raise TypeError(f"engine must be a name or have name and detect_and_decode; {type(engine).__name__} has not")
+            self.engines, self.factories = (engine.name,), {engine.name: lambda: engine}
+        elif isinstance(engines, dict) and engines:
+            self.engines, self.factories = tuple(engines), dict(engines)
+        else:
+            if engine in ("auto", "consensus") or engine is not None and engine not in ENGINES and engine not in REGISTRY:
+                raise ValueError(f"engine {engine!r} is no engine")
+            self.engines = check_subset((engine,) if engine is not None else engines if engines is not None else installed())
+            self.factories = {e: REGISTRY[e] for e in self.engines}
         if consensus > len(self.engines):
             raise ValueError(f"consensus of {consensus} is beyond {len(self.engines)} engines")
-        self.consensus, self.preprocess, self.iou_threshold = consensus, preprocess, iou_threshold
         self.single = len(self.engines) == 1
 
     @property
@@ -148,24 +197,104 @@ class Scanner:
     def __repr__(self) -> str:
         return f"Scanner(engines={self.engines!r}, consensus={self.consensus}, preprocess={self.preprocess!r})"
 
-    def scan_detections(self, parts: dict[str, DataFrame], images: DataFrame) -> DataFrame:
-        """One row per image of ``images(image_id, width, height)``: merged detections best first, raw ones by engine, the original size.
-
-        Images without detections appear with empty arrays.
-        """
-        raw = fan_out(parts)
-        merged = raw if self.single else merge(raw, self.consensus, self.iou_threshold)
-        ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("det_ix" if self.single else "code_ix").alias("ix"), "engine", "symbology", "payload", "score", "x1", "y1", "x2", "y2")))
-        best = merged.groupBy("image_id").agg(F.transform(ordered, lambda d: d.dropFields("order", "ix")).alias("detections"))
-        each = raw.groupBy("image_id", "engine").agg(F.count("*").cast("int").alias("n")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("engine", "n"))).alias("per_engine"))
+    def __enter__(self) -> Scanner:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Release what scans have kept; more than once is fine."""
+        held, self._held = self._held, []
+        for x in held:
+            x.unpersist()
+
+    def warmup(self) -> None:
+        """Build each engine here, let it warm up if it can, and give it a small white image. What an engine lacks shows now; that it can't read the image doesn't."""
+        for make in self.factories.values():
+            engine = make()
+            getattr(engine, "warmup", lambda: None)()
+            with contextlib.suppress(EngineFailed):
+                engine.detect_and_decode(to_ppm(np.full((16, 16, 3), 255, np.uint8)))
+
+    def results(self, raw: DataFrame, images: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+        """One row per image of ``images(image_id, width, height)`` from all engines' detections ``raw``: merged ones best first, raw ones by engine, the original size, and of
+        ``runs`` times and errors. Images and engines without detections appear with empty arrays."""
+        for c, kind in (("polygon", POLYGON), ("extras", "map<string,string>")):
+            raw = raw if c in raw.columns else raw.withColumn(c, F.lit(None).cast(kind))
+        if self.single:
+            votes = {"voted_by": F.array("engine"), "vote_count": F.lit(1), "agreed_payloads": F.when(F.col("payload").isNotNull(), F.array("payload")).otherwise(F.array().cast("array<string>")), "source_count": F.lit(1)}
+            merged = raw.withColumns(votes)
+        else:
+            merged = merge(raw, self.consensus, self.iou_threshold).withColumn("extras", F.create_map().cast("map<string,string>"))
+        # maps can't be sorted: they travel as entries
+        flat = lambda c: F.map_entries(c).alias(c) if c == "extras" else F.col(c)
+        whole = lambda names: lambda d: F.struct(*[(F.map_from_entries(d[c]) if c == "extras" else d[c]).alias(c) for c in names])
+        place = F.struct((-F.col("score")).alias("order"), F.col("det_ix" if self.single else "code_ix").alias("ix"), *map(flat, _MERGED))
+        best = merged.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(place)), whole(_MERGED)).alias("detections"))
+        own = raw.groupBy("image_id", "engine").agg(F.transform(F.array_sort(F.collect_list(F.struct("det_ix", *map(flat, _RAW)))), whole(_RAW)).alias("raw"))
+        each = own.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("engine", "raw"))).alias("own"))
         out = images.join(best, "image_id", "left").join(each, "image_id", "left")
-        none = F.map_from_arrays(F.array(*[F.lit(e) for e in parts]), F.array(*[F.lit(0) for _ in parts]))
-        counts = F.transform_values(none, lambda k, v: F.coalesce(F.element_at(F.coalesce("per_engine", none), k), v))
-        return out.select("image_id", "width", "height", F.coalesce("detections", F.array()).alias("detections"), counts.alias("per_engine")).withColumn("n", F.size("detections"))
+        none = F.array().cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in _kinds(_RAW))}>>")
+        per_engine = F.map_from_arrays(F.array(*[F.lit(e) for e in self.engines]), F.array(*[F.coalesce(F.element_at("own", F.lit(e)), none) for e in self.engines]))
+        empty = F.array().cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in _kinds(_MERGED))}>>")
+        out = out.select("image_id", "width", "height", F.coalesce("detections", empty).alias("detections"), per_engine.alias("raw")).withColumn("n", F.size("detections")).withColumn("per_engine", F.transform_values("raw", lambda k, v: F.size(v)))
+        if runs is None:
+            return out
+        entry = lambda v: F.map_from_entries(F.collect_list(F.struct("engine", v.alias("v"))))
+        broken = F.map_from_entries(F.collect_list(F.when(F.col("error_type").isNotNull(), F.struct("engine", F.struct(F.col("error_type").alias("type"), F.col("error_message").alias("message")).alias("v")))))
+        label = "engine" if self.single else "consensus"
+        times = runs.groupBy("image_id").agg(entry(F.col("ms")).alias("engine_ms"), F.sum("ms").alias("__all"), F.max("preprocess_ms").alias("__pre"), broken.alias("errors"))
+        pairs = F.array(F.struct(F.lit(label).alias("key"), F.col("__all").alias("value")), F.struct(F.lit("preprocess").alias("key"), F.col("__pre").alias("value")))
+        times = times.withColumn("timings_ms", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))).drop("__all", "__pre")
+        return out.join(times, "image_id", "left")
+
+    def scan_detections(self, parts: dict[str, DataFrame], images: DataFrame) -> DataFrame:
+        """Results from tables of detections, one for each engine, in place of running the engines."""
+        return self.results(fan_out(parts), images)
 
     def scan(self, images: DataFrame) -> DataFrame:
         """Run the engines over ``images(image_id, width, height, content)``."""
-        return self.scan_detections({e: detect(images, e, preprocess=self.preprocess) for e in self.engines}, images.select("image_id", "width", "height"))
+        kept = scanned(images, self.factories, self.preprocess).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.append(kept)
+        return self.results(kept.filter("kind = 'found'").select(*_FIELDS), images.select("image_id", "width", "height"), kept.filter("kind = 'run'"))
+
+    def scan_batch(self, spark: SparkSession, inputs: Iterable, on_error: str = "capture") -> DataFrame:
+        """Inputs of any kind (paths, bytes, binary streams, arrays), one row each in their order: ``input_ix``, ``error`` of an input that is no image, and the columns of
+        ``scan``. With ``on_error`` 'raise' such an input, or an engine that raises, fails the job."""
+        if on_error not in ("capture", "raise"):
+            raise ValueError("on_error must be 'capture' or 'raise'")
+        table = table_of(spark, inputs)
+        out = table.select("image_id", "path", "error").join(self.scan(table.filter("error is null")), "image_id", "left").withColumnRenamed("image_id", "input_ix")
+        if on_error == "raise":
+            first = F.coalesce(F.col("error.message"), F.try_element_at(F.map_values("errors"), F.lit(1))["message"])
+            out = out.withColumn("input_ix", F.when(first.isNull(), F.col("input_ix")).otherwise(F.raise_error(first).cast("bigint")))
+        return out.orderBy("input_ix")
+
+
+def _kinds(names: tuple[str, ...]) -> list[tuple[str, str]]:
+    kinds = dict(x.split(maxsplit=1) for x in DETECTIONS.split(", ")) | {"voted_by": "array<string>", "vote_count": "int", "agreed_payloads": "array<string>", "source_count": "int"}
+    return [(c, kinds[c]) for c in names]
+
+
+def table_engine(name: str) -> Engine:
+    """An engine whose images are JSON: ``{engine: [detection, ...]}``. Recorded detections pass through a whole scan with it."""
+
+    class Recorded:
+        def __init__(self):
+            self.name = name
+
+        def detect_and_decode(self, content: bytes) -> list[dict]:
+            return json.loads(content).get(name) or []
+
+    return Recorded()
+
+
+def auto_resolve() -> str:
+    """The first installed engine in canonical order."""
+    if not installed():
+        raise EngineMissing("no engine is installed")
+    return installed()[0]
 
 
 def rescaled(det: DataFrame, images: DataFrame) -> DataFrame:
@@ -195,13 +324,14 @@ def physical_cores() -> int:
     return len(found) or max(1, (os.cpu_count() or 2) // 2)
 
 
-def recommended_workers(engine: str = "consensus") -> int:
-    """How many tasks of an engine one host runs well; the partition count for a scan is this times the executors."""
+def recommended_workers(engine: str = "consensus", neural: str | None = None) -> int:
+    """How many tasks of an engine one host runs well; the partition count for a scan is this times the executors. ``neural``: the class of the host's neural
+    accelerator, "ultra", "standard" or None."""
     cpus = os.cpu_count() or 1
     return {
-        "arbez": min(8, max(2, cpus // 2)),
+        OWN: min(8, max(2, cpus // 2)),
         "zxing": cpus,
         "wechat": min(8, max(2, physical_cores() * 3 // 4)),
-        "apple_vision": 2,
+        "apple_vision": {"ultra": min(cpus, 16), "standard": min(cpus, 8)}.get(neural, 2),
         "consensus": max(1, len(installed())),
     }.get(engine, max(1, cpus // 2))

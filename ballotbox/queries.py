@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.fold import clustered, suppressed
+from .operators import adapters as A
 from .operators import consensus as C
 from .operators import decode as D
 from .operators import metrics as M
 from .operators import postprocess as P
-from .plans.scanner import Scanner, rescaled
-from .schema import ENGINES, SYMBOLOGIES, dim_decoder_format, dim_symbology, format_rows
+from .plans.scanner import Scanner, rescaled, table_engine
+from .schema import ENGINES, SYMBOLOGIES, dim_decoder_format, dim_symbology, requestable
+from .sources.pixels import decode
+from .specimens import corpus
+from .specimens.reader import Plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,23 +135,77 @@ def h16_output_order(spark, sf_dir):
     return C.merge(det(spark, sf_dir), 2).select("image_id", "symbology", "payload", F.round("score", 6).alias("score"), "code_ix")
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose content is their detections as JSON, for engines that give back what was recorded."""
+    d = det(spark, sf_dir)
+    each = d.groupBy("image_id", "width", "height", "engine").agg(F.array_sort(F.collect_list(F.struct("det_ix", *G.BOX, "score", "symbology", "payload"))).alias("found"))
+    found = F.transform("found", lambda x: x.withField("extras", F.create_map(F.lit("ix"), x["det_ix"].cast("string"))).dropFields("det_ix"))
+    whole = each.groupBy("image_id", "width", "height").agg(F.map_from_entries(F.collect_list(F.struct("engine", found.alias("found")))).alias("all"))
+    return whole.select("image_id", "width", "height", F.encode(F.to_json("all"), "UTF-8").alias("content"))
+
+
+def recorders(*names: str) -> dict:
+    return {e: (lambda e=e: table_engine(e)) for e in names}
+
+
 @query(f"{DET} SELECT image_id, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CAST(count(*) FILTER (engine = 'zxing') AS INT) AS n, coalesce(array_to_string(list(det_ix::VARCHAR ORDER BY score DESC, det_ix) FILTER (engine = 'zxing'), ','), '') AS order_ FROM det GROUP BY ALL")
 def i_scan_single_engine(spark, sf_dir):
-    d = det(spark, sf_dir)
-    one = d.filter("engine = 'zxing'").groupBy("image_id").agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_ix"))), lambda x: x["det_ix"].cast("string")).alias("o"))
-    return d.select("image_id", "width", "height").distinct().join(one, "image_id", "left").select("image_id", "width", "height", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join("o", ","), F.lit("")).alias("order_"))
+    with Scanner(engines=recorders("zxing")) as scanner:
+        out = scanner.scan(recorded(spark, sf_dir))
+    order = F.transform("detections", lambda d: d["extras"]["ix"])
+    return out.select("image_id", "width", "height", "n", F.array_join(order, ",").alias("order_"))
 
 
 @query(f"{DET}, {folded('det', 0.5)}, {MERGED}, i AS (SELECT DISTINCT image_id, width, height FROM det), m AS (SELECT image_id, count(*) AS n FROM merged WHERE vote_count >= 3 GROUP BY 1), {', '.join(f'e{k} AS (SELECT image_id, count(*) AS n FROM det WHERE engine_rank = {k} GROUP BY 1)' for k in range(4))} SELECT i.*, CAST(coalesce(m.n, 0) AS INT) AS n, {', '.join(f'CAST(coalesce(e{k}.n, 0) AS INT) AS {e}' for k, e in enumerate(ENGINES))} FROM i LEFT JOIN m USING (image_id) {' '.join(f'LEFT JOIN e{k} USING (image_id)' for k in range(4))}")
 def i1_scan_result(spark, sf_dir):
-    d = det(spark, sf_dir)
-    scanner = object.__new__(Scanner)  # engines stand in for tables here, none is installed
-    scanner.engines, scanner.consensus, scanner.iou_threshold, scanner.single, scanner.preprocess = ENGINES, 3, 0.5, False, "off"
-    parts = {e: d.filter(F.col("engine") == e).drop("width", "height") for e in ENGINES}
-    out = scanner.scan_detections(parts, d.select("image_id", "width", "height").distinct())
+    out = Scanner(engines=recorders(*ENGINES), consensus=3).scan(recorded(spark, sf_dir))
     return out.select("image_id", "width", "height", "n", *[F.element_at("per_engine", F.lit(e)).alias(e) for e in ENGINES])
 
 
+@query(f"{DET}, {folded('det', 0.5)}, {MERGED}, m AS (SELECT image_id, string_agg(voted_by || ':' || vote_count || ':' || source_count || ':' || agreed_payloads, ';' ORDER BY voted_by, vote_count, source_count, agreed_payloads) AS votes FROM merged WHERE vote_count >= 2 GROUP BY 1), r AS (SELECT image_id, string_agg(CAST(det_ix AS VARCHAR), ',' ORDER BY det_ix) AS raw FROM det WHERE engine = 'wechat' GROUP BY 1) SELECT i.image_id, coalesce(votes, '') AS votes, coalesce(raw, '') AS raw, CAST(0 AS BIGINT) AS broken FROM (SELECT DISTINCT image_id FROM det) i LEFT JOIN m USING (image_id) LEFT JOIN r USING (image_id)")
+def h2b_whole_results(spark, sf_dir):
+    """Votes, raw detections and errors that a scan's results carry."""
+    out = Scanner(engines=recorders(*ENGINES), consensus=2).scan(recorded(spark, sf_dir))
+    votes = F.transform("detections", lambda d: F.struct(F.array_join(d["voted_by"], ",").alias("v"), d["vote_count"].alias("n"), d["source_count"].alias("s"), F.array_join(d["agreed_payloads"], ",").alias("p")))
+    text = F.array_join(F.transform(F.array_sort(votes), lambda x: F.concat_ws(":", x["v"], x["n"], x["s"], x["p"])), ";")
+    raw = F.array_join(F.transform(F.element_at("raw", F.lit("wechat")), lambda d: d["extras"]["ix"]), ",")
+    return out.select("image_id", text.alias("votes"), raw.alias("raw"), F.size("errors").cast("long").alias("broken"))
+
+
+#: The size after the automatic downscale, as int() of a product cuts it.
+_DOWN = "CASE WHEN greatest(width, height) > 2000 THEN greatest(1, CAST(trunc({0} * (2000.0::DOUBLE / greatest(width, height))) AS INT)) ELSE {0} END"
+
+
+class Whole:
+    """An engine that finds the image itself, with the size that it was given as payload."""
+
+    name = "whole"
+
+    def detect_and_decode(self, content: bytes) -> list[dict]:
+        h, w = decode(content).shape[:2]
+        return [{"x1": 0.0, "y1": 0.0, "x2": float(w), "y2": float(h), "symbology": "qr", "payload": f"{w}x{h}", "polygon": [{"x": 0.0, "y": 0.0}, {"x": float(w), "y": float(h)}]}]
+
+
+@query(f"WITH s AS (SELECT p_partkey AS image_id, CAST(1 + (p_partkey * 7919) % 6000 AS INT) AS width, CAST(1 + p_partkey % 4 AS INT) AS height FROM part) SELECT image_id, width, height, ({_DOWN.format('width')}) || 'x' || ({_DOWN.format('height')}) AS payload, width::DOUBLE AS x2, height::DOUBLE AS y2, width::DOUBLE AS corner_x, height::DOUBLE AS corner_y FROM s")
+def b1_auto_scan(spark, sf_dir):
+    """Downscaled before the engine, back in the original's pixels after it, box and polygon."""
+    k = F.col("p_partkey")
+    images = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"), (1 + k * 7919 % 6000).cast("int").alias("width"), (1 + k % 4).cast("int").alias("height"))
+    content = F.concat(F.format_string("P5\n%d %d\n255\n", "width", "height"), F.repeat(F.lit("x"), F.col("width") * F.col("height")))
+    out = Scanner(Whole(), preprocess="auto").scan(images.withColumn("content", F.encode(content, "ISO-8859-1")))
+    d = F.col("detections")[0]
+    return out.select("image_id", "width", "height", d["payload"].alias("payload"), F.round(d["x2"], 6).alias("x2"), F.round(d["y2"], 6).alias("y2"), F.round(d["polygon"][1]["x"], 6).alias("corner_x"), F.round(d["polygon"][1]["y"], 6).alias("corner_y"))
+
+
+@query("WITH s AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS input_ix, p_partkey % 5 AS kind FROM part WHERE p_partkey <= 200) SELECT input_ix, kind IN (1, 2) AS bad, CASE WHEN kind IN (1, 2) THEN NULL WHEN kind = 3 THEN 0 ELSE 1 END::INT AS n, kind = 3 AS broken FROM s")
+def i6_batch_scan(spark, sf_dir):
+    """A batch of inputs, some of them no images, some that break the engine: a row each, in order. The driver reads a batch's inputs, so it is as small as that."""
+    keys = [r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").filter("p_partkey <= 200").orderBy("p_partkey").collect()]
+    kinds = [b"P5\n3 2\n255\nabcdef", b"no image", b"P5\n0 2\n255\n", b"P5\n3 2\n255\na", b"P6\n1 1\n255\nabc"]
+    out = Scanner(Whole()).scan_batch(spark, [kinds[k % 5] for k in keys])
+    return out.select("input_ix", F.col("error").isNotNull().alias("bad"), "n", F.coalesce(F.size("errors") > 0, F.lit(False)).alias("broken"))
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 _SIZES = "sizes AS (SELECT p_partkey AS image_id, CAST(1 + (p_partkey * 7919) % 6000 AS INT) AS width, CAST(1 + (p_partkey * 104729) % 4500 AS INT) AS height FROM part)"
@@ -157,9 +216,6 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"), (1 + k * 7919 % 6000).cast("int").alias("width"), (1 + k * 104729 % 4500).cast("int").alias("height"))
 
 
-_DOWN = "CASE WHEN greatest(width, height) > 2000 THEN greatest(1, CAST(trunc({0} * (2000.0::DOUBLE / greatest(width, height))) AS INT)) ELSE {0} END"
-
-
 @query(f"WITH {_SIZES}, d AS (SELECT *, {_DOWN.format('width')} AS new_width, {_DOWN.format('height')} AS new_height FROM sizes) SELECT *, round(width::DOUBLE / new_width, 6) AS inv_x, round(height::DOUBLE / new_height, 6) AS inv_y FROM d")
 def b1_downscale_geometry(spark, sf_dir):
     w, h = G.downscaled(F.col("width"), F.col("height"))
@@ -280,11 +336,11 @@ def e2_first_stage(spark, sf_dir):
     return D.first_success(attempts(spark, sf_dir), ["det_ix"])
 
 
-@query(f"{DET}, r AS (SELECT image_id, det_ix AS read_ix, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, payload FROM det WHERE engine = 'zxing' AND payload IS NOT NULL), b AS (SELECT * FROM det WHERE engine = 'arbez') SELECT b.image_id, b.det_ix, first(r.payload ORDER BY read_ix) AS payload, count(*) AS reads_inside FROM b JOIN r ON b.image_id = r.image_id AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 GROUP BY 1, 2")
+@query(f"{DET}, r AS (SELECT image_id, det_ix AS read_ix, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, payload FROM det WHERE engine = 'zxing' AND payload IS NOT NULL), b AS (SELECT * FROM det WHERE engine = 'native') SELECT b.image_id, b.det_ix, first(r.payload ORDER BY read_ix) AS payload, count(*) AS reads_inside FROM b JOIN r ON b.image_id = r.image_id AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2 GROUP BY 1, 2")
 def e3_fallback_join(spark, sf_dir):
     d = det(spark, sf_dir)
     reads = d.filter("engine = 'zxing' and payload is not null").select("image_id", F.col("det_ix").alias("read_ix"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.col("payload").alias("read_payload"))
-    return D.fallback_reads(d.filter("engine = 'arbez'").drop("payload"), reads, ["image_id", "det_ix"])
+    return D.fallback_reads(d.filter("engine = 'native'").drop("payload"), reads, ["image_id", "det_ix"])
 
 
 @query(f"{DET} SELECT det_ix, payload IS NULL AND symbology IN ('data_matrix', 'qr', 'micro_qr', 'aztec') AS asked FROM (SELECT det_ix, CASE WHEN user_id % 3 > 0 THEN payload END AS payload, symbology FROM det)")
@@ -312,7 +368,29 @@ def e7_reconcile(spark, sf_dir):
 
 # --- lookups --------------------------------------------------------------------------------------------------------
 
-_VALUES = "fmt AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{r}', {'NULL' if s is None else repr(s)}, '{a}')" for d, r, s, a in format_rows()) + ") AS v(decoder, raw_format, symbology, action))"
+#: Fixed values, spelled out apart from the implementation's own table.
+_VALUES = """fmt AS (SELECT * FROM (VALUES
+  ('zxing', 'QRCode', 'qr', 'map'), ('zxing', 'Aztec', 'aztec', 'map'), ('zxing', 'DataMatrix', 'data_matrix', 'map'), ('zxing', 'PDF417', 'pdf417', 'map'),
+  ('zxing', 'Code128', 'code_128', 'map'), ('zxing', 'Code39', 'code_39', 'map'), ('zxing', 'Code93', 'code_93', 'map'), ('zxing', 'EAN13', 'ean_13', 'map'),
+  ('zxing', 'EAN8', 'ean_8', 'map'), ('zxing', 'UPCA', 'upc_a', 'map'), ('zxing', 'UPCE', 'upc_e', 'map'), ('zxing', 'MicroQRCode', 'micro_qr', 'map'),
+  ('zxing', 'Codabar', 'codabar', 'map'), ('zxing', 'ITF', 'itf', 'map'), ('zxing', 'MaxiCode', 'maxicode', 'map'),
+  ('zxing', 'DataBar', 'gs1_databar', 'map'), ('zxing', 'DataBarOmni', 'gs1_databar', 'map'), ('zxing', 'DataBarStk', 'gs1_databar', 'map'),
+  ('zxing', 'DataBarStkOmni', 'gs1_databar', 'map'), ('zxing', 'DataBarLtd', 'gs1_databar', 'map'), ('zxing', 'DataBarLimited', 'gs1_databar', 'map'),
+  ('zxing', 'DataBarExp', 'gs1_databar', 'map'), ('zxing', 'DataBarExpanded', 'gs1_databar', 'map'), ('zxing', 'DataBarExpStk', 'gs1_databar', 'map'),
+  ('zxing', 'DataBarExpandedStacked', 'gs1_databar', 'map'),
+  ('zxing', 'MicroPDF417', NULL, 'drop'), ('zxing', 'RMQRCode', NULL, 'drop'), ('zxing', 'DXFilmEdge', NULL, 'drop'),
+  ('apple_vision', 'VNBarcodeSymbologyQR', 'qr', 'map'), ('apple_vision', 'VNBarcodeSymbologyMicroQR', 'micro_qr', 'map'), ('apple_vision', 'VNBarcodeSymbologyAztec', 'aztec', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyDataMatrix', 'data_matrix', 'map'), ('apple_vision', 'VNBarcodeSymbologyPDF417', 'pdf417', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyCode128', 'code_128', 'map'), ('apple_vision', 'VNBarcodeSymbologyCode39', 'code_39', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyCode39Checksum', 'code_39', 'map'), ('apple_vision', 'VNBarcodeSymbologyCode39FullASCII', 'code_39', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyCode39FullASCIIChecksum', 'code_39', 'map'), ('apple_vision', 'VNBarcodeSymbologyCode93', 'code_93', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyCode93i', 'code_93', 'map'), ('apple_vision', 'VNBarcodeSymbologyEAN13', 'ean_13', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyEAN8', 'ean_8', 'map'), ('apple_vision', 'VNBarcodeSymbologyUPCE', 'upc_e', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyGS1DataBar', 'gs1_databar', 'map'), ('apple_vision', 'VNBarcodeSymbologyGS1DataBarExpanded', 'gs1_databar', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyGS1DataBarLimited', 'gs1_databar', 'map'), ('apple_vision', 'VNBarcodeSymbologyCodabar', 'codabar', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyI2of5', 'itf', 'map'), ('apple_vision', 'VNBarcodeSymbologyI2of5Checksum', 'itf', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyITF14', 'itf', 'map'), ('apple_vision', 'VNBarcodeSymbologyMSIPlessey', 'other_1d', 'map'),
+  ('apple_vision', 'VNBarcodeSymbologyMicroPDF417', NULL, 'drop')) AS v(decoder, raw_format, symbology, action))"""
 _RAW = ["QRCode", "DataBarLimited", "MicroPDF417", "Code128", "Unheard", "MaxiCode", "RMQRCode"]
 
 
@@ -334,14 +412,21 @@ def f4_format_drop(spark, sf_dir):
     return D.mapped_formats(_raw(spark, sf_dir), dim_decoder_format(spark), drop=True).select("det_ix", "decoder", "raw_format", "mapped")
 
 
-@query(f"{DET} SELECT engine, symbology, count(*) AS n FROM det WHERE symbology IN ('qr', 'data_matrix') GROUP BY 1, 2")
-def f5_formats_filter(spark, sf_dir):
-    return det(spark, sf_dir).filter(F.col("symbology").isin("qr", "data_matrix")).groupBy("engine", "symbology").agg(F.count("*").alias("n"))
+@query(f"{DET}, {_VALUES}, {_RAW_SQL} SELECT raw.*, fmt.symbology FROM raw JOIN fmt ON raw.decoder = fmt.decoder AND raw.raw_format = fmt.raw_format WHERE fmt.symbology IN ('qr', 'code_128', 'maxicode')")
+def f7_requested_formats(spark, sf_dir):
+    rows = A.restricted(_raw(spark, sf_dir), "zxing", ["maxicode", "qr", "code_128"])
+    return D.mapped_formats(rows, dim_decoder_format(spark), drop=True).select("det_ix", "decoder", "raw_format", F.col("mapped").alias("symbology"))
+
+
+@query(f"WITH {_VALUES} SELECT symbology, string_agg(raw_format, ',' ORDER BY raw_format) AS names FROM fmt WHERE decoder = 'apple_vision' AND action = 'map' AND symbology <> 'other_1d' GROUP BY 1")
+def f5_requestable(spark, sf_dir):
+    asked = spark.createDataFrame(list(requestable("apple_vision").items()), "symbology string, names array<string>")
+    return asked.select("symbology", F.array_join(F.array_sort("names"), ",").alias("names"))
 
 
-@query(f"WITH {_VALUES} SELECT decoder, coalesce(symbology, action) AS symbology, count(*) AS names FROM fmt GROUP BY 1, 2")
+@query(f"WITH {_VALUES} SELECT * FROM fmt")
 def f6_format_table(spark, sf_dir):
-    return dim_decoder_format(spark).groupBy("decoder", F.coalesce("symbology", "action").alias("symbology")).agg(F.count("*").alias("names"))
+    return dim_decoder_format(spark)
 
 
 @query("WITH p AS (SELECT p_partkey, CAST(p_partkey % 20 AS INT) AS class_id FROM part) SELECT class_id, CASE class_id " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SYMBOLOGIES)) + " END AS symbology, count(*) AS n FROM p GROUP BY 1, 2")
@@ -353,25 +438,46 @@ def f1_from_class_id(spark, sf_dir):
 # --- engine adapters ------------------------------------------------------------------------------------------------
 
 
-@query(f"{DET} SELECT image_id, det_ix, CAST(row_number() OVER (PARTITION BY image_id ORDER BY (x2 - x1) * (y2 - y1) DESC, det_ix) AS INT) AS place FROM det WHERE engine = 'wechat' AND payload IS NOT NULL")
-def g3_area_order(spark, sf_dir):
-    from pyspark.sql import Window as W
+# raw reads of the three engines, some of them invalid, of unknown formats, empty or without area
+_FLAT = "CASE WHEN user_id % 11 = 0 THEN x1 ELSE x2 END"
 
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    d = det(spark, sf_dir).filter("engine = 'wechat' and payload is not null")
-    return d.select("image_id", "det_ix", F.row_number().over(W.partitionBy("image_id").orderBy(area.desc(), "det_ix")).alias("place"))
 
+def _polygon(d: DataFrame) -> DataFrame:
+    flat = d.withColumn("x2", F.when(F.col("user_id") % 11 == 0, F.col("x1")).otherwise(F.col("x2")))
+    return flat.withColumn("polygon", G.corners(G.columns()))
 
-@query(f"{DET} SELECT det_ix, round(x1 / 400 * width, 6) AS px, round((1 - y1 / 300) * height, 6) AS py FROM det WHERE engine = 'apple_vision'")
-def g4_flip_coords(spark, sf_dir):
-    px, py = G.flipped(F.col("x1") / 400, F.col("y1") / 300, F.col("width"), F.col("height"))
-    return det(spark, sf_dir).filter("engine = 'apple_vision'").select("det_ix", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
 
+@query(f"{DET}, {_VALUES}, {_RAW_SQL}, z AS (SELECT det.*, raw_format FROM det JOIN raw USING (det_ix) WHERE engine = 'zxing' AND user_id % 7 <> 0 AND user_id % 11 <> 0) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY det_ix) - 1 AS INT) AS det_ix, fmt.symbology, coalesce(payload, 'x') AS payload, x1, y1, x2, y2, 1.0::DOUBLE AS score, CASE WHEN user_id % 3 > 0 THEN 'M' END AS ec_level FROM z JOIN fmt ON fmt.decoder = 'zxing' AND fmt.raw_format = z.raw_format AND action = 'map'")
+def g2_zxing_adapter(spark, sf_dir):
+    d = _polygon(det(spark, sf_dir).filter("engine = 'zxing'")).withColumn("text", F.coalesce("payload", F.lit("x")))
+    raw = d.join(_raw(spark, sf_dir).select("det_ix", "raw_format"), "det_ix").select("image_id", F.col("det_ix").alias("read_ix"), (F.col("user_id") % 7 != 0).alias("valid"), "raw_format", "text", "polygon", F.lit("]Q1").alias("identifier"), F.when(F.col("user_id") % 3 > 0, "M").otherwise("").alias("ec_level"))
+    return A.zxing(raw).select("image_id", "det_ix", "symbology", "payload", *G.BOX, "score", F.col("extras")["ec_level"].alias("ec_level"))
 
-@query(f"{DET} SELECT det_ix, x1, y1, x2, y2 FROM det")
+
+@query(f"{DET}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY det_ix) AS r FROM det WHERE engine = 'wechat') SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY (x2 - x1) * (y2 - y1) DESC, r) - 1 AS INT) AS det_ix, payload, x1, y1, x2, y2 FROM w WHERE payload IS NOT NULL AND user_id % 11 <> 0 AND user_id % 5 <> 0")
+def g3_wechat_adapter(spark, sf_dir):
+    points = F.when(F.col("user_id") % 5 == 0, F.slice("polygon", 1, 3)).otherwise(F.col("polygon"))
+    d = _polygon(det(spark, sf_dir).filter("engine = 'wechat'")).select("image_id", "det_ix", F.coalesce("payload", F.lit("")).alias("text"), points.alias("points"))
+    every = F.array_sort(F.collect_list(F.struct("det_ix", "text", "points")))
+    raw = d.groupBy("image_id").agg(every.alias("a")).select("image_id", F.col("a.text").alias("texts"), F.col("a.points").alias("points"))
+    return A.wechat(raw).select("image_id", "det_ix", "payload", *G.BOX)
+
+
+@query(f"{DET}, v AS (SELECT *, ['VNBarcodeSymbologyQR', 'VNBarcodeSymbologyCode93i', 'VNBarcodeSymbologyMicroPDF417', 'VNBarcodeSymbologyMSIPlessey', 'Unheard'][det_ix % 5 + 1] AS raw_format FROM det WHERE engine = 'apple_vision' AND payload IS NOT NULL) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, v.det_ix) - 1 AS INT) AS det_ix, CASE raw_format WHEN 'VNBarcodeSymbologyQR' THEN 'qr' WHEN 'VNBarcodeSymbologyCode93i' THEN 'code_93' ELSE 'other_1d' END AS symbology, score, round(x1 / 400 * width, 6) AS x1, round((1 - y2 / 300) * height, 6) AS y1, round(x2 / 400 * width, 6) AS x2, round((1 - y1 / 300) * height, 6) AS y2 FROM v WHERE raw_format IN ('VNBarcodeSymbologyQR', 'VNBarcodeSymbologyCode93i', 'VNBarcodeSymbologyMSIPlessey')")
+def g4_vision_adapter(spark, sf_dir):
+    names = ["VNBarcodeSymbologyQR", "VNBarcodeSymbologyCode93i", "VNBarcodeSymbologyMicroPDF417", "VNBarcodeSymbologyMSIPlessey", "Unheard"]
+    raw = det(spark, sf_dir).filter("engine = 'apple_vision'").withColumn("polygon", G.corners(G.columns()))
+    corners = F.transform("polygon", lambda p: F.struct((p["x"] / 400).alias("x"), (p["y"] / 300).alias("y")))
+    raw = raw.select("image_id", F.col("det_ix").alias("read_ix"), F.element_at(F.array(*map(F.lit, names)), F.col("det_ix") % 5 + 1).alias("raw_format"), F.coalesce("payload", F.lit("")).alias("payload"), F.col("score").alias("confidence"), corners.alias("corners"), "width", "height")
+    return A.apple_vision(raw).select("image_id", "det_ix", "symbology", "score", *[F.round(c, 6).alias(c) for c in G.BOX])
+
+
+@query(f"{DET} SELECT det_ix, CAST(least(x1, x2 - 7) AS DOUBLE) AS x1, y1, x2, y2 + 5 AS y2 FROM det")
 def g8_poly_bbox(spark, sf_dir):
-    d = det(spark, sf_dir).withColumn("polygon", G.corners(G.columns()))
-    return d.select("det_ix", *[v.alias(k) for k, v in G.bounds(F.col("polygon")).items()])
+    """The box of a quadrangle whose corners lean."""
+    x1, y1, x2, y2 = (F.col(c) for c in G.BOX)
+    lean = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1 + 5), (x2 - 7, y2 + 5), (x1 + 3, y2))])
+    return det(spark, sf_dir).withColumn("polygon", lean).select("det_ix", *[v.alias(k) for k, v in G.bounds(F.col("polygon")).items()])
 
 
 @query("SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 % 1000000000000 AS VARCHAR), 12, '0') AS digits, CAST((10 - (list_sum(list_transform(range(1, 13), lambda i: CAST(lpad(CAST(o_orderkey * 7919 % 1000000000000 AS VARCHAR), 12, '0')[i] AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))) % 10) % 10 AS INT) AS digit FROM orders")
@@ -380,12 +486,44 @@ def l2_ean13_check_digit(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", digits.alias("digits")).withColumn("digit", G.check_digit(F.col("digits")).cast("int"))
 
 
-@query("WITH g AS (SELECT p_partkey, p_partkey % 7 AS n, p_size FROM part), c AS (SELECT max(p_size) + 60 AS cell FROM part) SELECT p_partkey, CAST((p_partkey % 3) * cell + (cell - p_size) // 2 AS INT) AS x, CAST((p_partkey // 3) * cell + (cell - p_size) // 2 AS INT) AS y FROM g, c")
+@query("WITH g AS (SELECT p_partkey // 7 AS canvas, p_partkey % 7 AS piece, 20 + p_size AS w, 20 + p_size // 2 AS h FROM part), c AS (SELECT canvas, max(w) + 60 AS cw, max(h) + 60 AS ch FROM g GROUP BY 1) SELECT canvas, piece, CAST((rank() OVER (PARTITION BY canvas ORDER BY piece) - 1) % 3 * cw + (cw - w) // 2 AS INT) AS x, CAST((rank() OVER (PARTITION BY canvas ORDER BY piece) - 1) // 3 * ch + (ch - h) // 2 AS INT) AS y FROM g JOIN c USING (canvas)")
 def l6_grid_layout(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
-    cell = parts.agg((F.max("p_size") + 60).alias("cell"))
-    at = lambda k: (k * F.col("cell") + F.expr("(cell - p_size) div 2")).cast("int")
-    return parts.join(F.broadcast(cell)).select("p_partkey", at(F.col("p_partkey") % 3).alias("x"), at(F.expr("p_partkey div 3")).alias("y"))
+    """Seven pieces a canvas, placed by the composer's own layout."""
+    k = F.col("p_partkey")
+    pieces = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey div 7").alias("canvas"), (k % 7).alias("piece"), (20 + F.col("p_size")).alias("w"), F.expr("20 + p_size div 2").alias("h"))
+
+    @F.pandas_udf("array<struct<x:int,y:int>>")
+    def places(canvases: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x, "y": y} for x, y in corpus.grid([(p["w"], p["h"]) for p in c])[1]] for c in canvases])
+
+    whole = pieces.groupBy("canvas").agg(F.array_sort(F.collect_list(F.struct("piece", "w", "h"))).alias("all")).withColumn("at", places("all"))
+    return whole.select("canvas", F.explode(F.arrays_zip("all", "at")).alias("z")).select("canvas", "z.all.piece", "z.at.x", "z.at.y")
+
+
+_CLEAN_SQL = """SELECT * FROM (VALUES
+  ('qr-url', 'qr', 'https://example.org/test'), ('qr-plain', 'qr', 'Hello, world!'), ('qr-unicode', 'qr', 'こんにちは 世界'), ('qr-json', 'qr', '{"v":1,"id":"abc123","ok":true}'),
+  ('qr-vcardish', 'qr', 'MECARD:N:Example,Test;TEL:+15551234;EMAIL:hi@example.org;;'), ('qr-long-ascii', 'qr', 'CODES' || repeat('0123456789', 12)),
+  ('c128-alphanum', 'code_128', 'CODES-128-TEST'), ('c128-digits', 'code_128', '20260513123456'), ('c128-mixed', 'code_128', 'SN:ABCD-1234'), ('c128-slash', 'code_128', 'PO/47291/A'),
+  ('c39-alpha', 'code_39', 'CODES39'), ('c39-part', 'code_39', 'PART-12345'), ('c39-plus', 'code_39', 'RUN+001'),
+  ('ean13-seq', 'ean_13', '0123456789012'), ('ean13-zero-prefix', 'ean_13', '2000000000015'), ('ean13-typical', 'ean_13', '7501000000012')) AS v(spec_id, symbology, payload)"""
+
+
+@query(_CLEAN_SQL)
+def l3_clean_corpus(spark, sf_dir):
+    """Drawn, scanned by the clean-code reader, and read as planted."""
+    images = corpus.clean(spark)
+    found = Scanner(Plain()).scan(images).select("image_id", F.explode("detections").alias("d"))
+    return images.select("image_id", "spec_id").join(found, "image_id").select("spec_id", "d.symbology", "d.payload")
+
+
+@query("""SELECT * FROM (VALUES
+  ('multi-three-qrs-flat', 'https://example.org/multi-a', 'qr'), ('multi-three-qrs-flat', 'https://example.org/multi-b', 'qr'), ('multi-three-qrs-flat', 'https://example.org/multi-c', 'qr'),
+  ('multi-mixed-flat', 'https://example.org/mix', 'qr'), ('multi-mixed-flat', 'CODES-MIX-128', 'code_128'), ('multi-mixed-flat', '0123456789012', 'ean_13')) AS v(spec_id, payload, symbology)""")
+def l4_composite_corpus(spark, sf_dir):
+    """The images of several codes that none is turned in."""
+    images = corpus.composite(spark).filter("spec_id like '%-flat'")
+    found = Scanner(Plain()).scan(images).select("image_id", F.explode("detections").alias("d"))
+    return images.select("image_id", "spec_id").join(found, "image_id").select("spec_id", "d.payload", "d.symbology")
 
 
 # --- corpus metrics -------------------------------------------------------------------------------------------------
@@ -455,7 +593,16 @@ def k12_validated_recall(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("correctness", "disagreement")})
 
 
-@query()
+def _greedy_sql() -> str:
+    """Four steps, each the engine with the most codes that no earlier one has; ties go to the earlier engine."""
+    steps = "m AS (SELECT bit_or(1 << engine_rank) AS mask FROM det WHERE payload IS NOT NULL GROUP BY image_id, symbology, payload), e AS (SELECT unnest([0, 1, 2, 3]) AS i), s0 AS (SELECT 0 AS seen, 0 AS i, 0::BIGINT AS gained)"
+    for k in range(1, 5):
+        steps += f", s{k} AS (SELECT s.seen | (1 << e.i) AS seen, e.i, (SELECT count(*) FROM m WHERE (m.mask >> e.i) & 1 = 1 AND m.mask & s.seen = 0) AS gained FROM s{k - 1} s, e WHERE (s.seen >> e.i) & 1 = 0 ORDER BY gained DESC, i LIMIT 1)"
+    union = " UNION ALL ".join(f"SELECT {k} AS step, i, gained FROM s{k}" for k in range(1, 5))
+    return f"{DET}, {steps} SELECT CAST(step AS INT) AS step, ['{"', '".join(ENGINES)}'][i + 1] AS engine, CAST(gained AS BIGINT) AS gained, CAST(sum(gained) OVER (ORDER BY step) AS BIGINT) AS covered FROM ({union})"
+
+
+@query(_greedy_sql())
 def k13_greedy_coverage(spark, sf_dir):
     return M.greedy_coverage(det(spark, sf_dir), list(ENGINES))
 
@@ -469,10 +616,31 @@ def k14_quadrants(spark, sf_dir):
     return M.quadrants(stats).withColumns({"ms": F.round("ms", 4), "recall": F.round("recall", 6)})
 
 
-@query()
+_MATCH = f"""t AS (SELECT * FROM det WHERE engine = 'zxing'), d AS (SELECT * FROM det WHERE engine <> 'zxing'),
+  c AS (SELECT d.image_id, d.engine, d.det_ix AS d, t.det_ix AS g, d.score, {iou_sql("d", "t")} AS o, d.payload IS NOT DISTINCT FROM t.payload AS same FROM d JOIN t ON d.image_id = t.image_id),
+  l AS (SELECT image_id, engine, list({{'d': d, 'g': g, 'same': same}} ORDER BY score DESC, d, o DESC, g) AS b FROM c WHERE o >= 0.5 GROUP BY 1, 2),
+  h AS (SELECT image_id, engine, unnest(list_reduce(b, lambda acc, x: CASE WHEN len(list_filter(acc.k, lambda y: y.d = x.d OR y.g = x.g)) > 0 THEN acc ELSE {{'k': list_append(acc.k, x)}} END, {{'k': b[1:0]}}).k) AS m FROM l),
+  own AS (SELECT d.engine, coalesce(t.symbology, d.symbology) AS symbology, h.m.same AS same, h.m.g AS g FROM d JOIN (SELECT DISTINCT image_id FROM t) USING (image_id) LEFT JOIN h ON h.image_id = d.image_id AND h.engine = d.engine AND h.m.d = d.det_ix LEFT JOIN t ON t.image_id = d.image_id AND t.det_ix = h.m.g)"""
+_SCORES = "tp, n - tp AS fp, t - tp AS fn, payload_correct, tp::DOUBLE / nullif(n, 0) AS p, tp::DOUBLE / nullif(t, 0) AS r"
+
+
+def _rates(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, "tp", "fp", "fn", "payload_correct", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_ROUNDED = "tp, fp, fn, payload_correct, round(p, 6) AS \"precision\", round(r, 6) AS recall, round(coalesce(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 0.0), 6) AS f1"
+
+
+@query(f"{DET}, {_MATCH}, s AS (SELECT engine, count(*) AS n, count(g) AS tp, count(*) FILTER (same) AS payload_correct, (SELECT count(*) FROM t) AS t FROM own GROUP BY 1), z AS (SELECT engine, {_SCORES} FROM s) SELECT engine, {_ROUNDED} FROM z")
 def k15_ground_truth(spark, sf_dir):
     d = det(spark, sf_dir)
-    return M.ground_truth(d.filter("engine = 'zxing'"), d.filter("engine <> 'zxing'"))
+    return _rates(M.ground_truth(d.filter("engine = 'zxing'"), d.filter("engine <> 'zxing'")), "engine")
+
+
+@query(f"{DET}, {_MATCH}, s AS (SELECT engine, symbology, count(*) AS n, count(g) AS tp, count(*) FILTER (same) AS payload_correct FROM own GROUP BY 1, 2), w AS (SELECT symbology, count(*) AS t FROM t GROUP BY 1), f AS (SELECT engine, symbology, t FROM (SELECT DISTINCT engine FROM d), w), j AS (SELECT engine, symbology, coalesce(t, 0) AS t, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp, coalesce(payload_correct, 0) AS payload_correct FROM f FULL JOIN s USING (engine, symbology)), z AS (SELECT engine, symbology, {_SCORES} FROM j) SELECT engine, symbology, {_ROUNDED} FROM z")
+def k15_by_symbology(spark, sf_dir):
+    d = det(spark, sf_dir)
+    return _rates(M.ground_truth(d.filter("engine = 'zxing'"), d.filter("engine <> 'zxing'"), by=("engine", "symbology")), "engine", "symbology")
 
 
 @query(f"{DET} SELECT engine, round(avg(ms), 4) AS mean, {', '.join(f'round(quantile_cont(ms, {p / 100}), 4) AS p{p}' for p in (50, 95, 99))} FROM det GROUP BY 1")
@@ -522,12 +690,15 @@ def k23_mismatches(spark, sf_dir):
     return M.mismatches(d.withColumn("symbology", D.reconciled(F.col("decoder"), F.col("decoded"), F.col("symbology"))))
 
 
-@query(f"{DET}, k AS (SELECT DISTINCT engine IN ('arbez', 'zxing') AS p, image_id, CASE WHEN symbology = 'ean_13' THEN payload[1:12] ELSE payload END AS code FROM det WHERE payload IS NOT NULL), b AS (SELECT image_id, code, bool_or(p) AS planted, bool_or(NOT p) AS decoded FROM k GROUP BY 1, 2) SELECT image_id, count(*) FILTER (NOT planted) AS fabricated, count(*) FILTER (NOT decoded) AS missed, count(*) FILTER (decoded) AS n_decoded, count(*) FILTER (planted) AS n_planted FROM b GROUP BY 1")
+@query(f"{DET}, k AS (SELECT DISTINCT engine IN ('native', 'zxing') AS p, image_id, CASE WHEN symbology = 'ean_13' THEN payload[1:12] ELSE payload END AS code FROM det WHERE payload IS NOT NULL), b AS (SELECT image_id, code, bool_or(p) AS planted, bool_or(NOT p) AS decoded FROM k GROUP BY 1, 2) SELECT image_id, count(*) FILTER (NOT planted) AS fabricated, count(*) FILTER (NOT decoded) AS missed, count(*) FILTER (decoded) AS n_decoded, count(*) FILTER (planted) AS n_planted FROM b GROUP BY 1")
 def k24_fabrication(spark, sf_dir):
-    d, p = det(spark, sf_dir), F.col("engine").isin("arbez", "zxing")
+    d, p = det(spark, sf_dir), F.col("engine").isin("native", "zxing")
     return M.fabrication(d.filter(p), d.filter(~p))
 
 
-@query("SELECT user_id % 2 = 0 AS odd, count(*) AS scans, count(*) FILTER (event_type <> 'error') AS decodes FROM events GROUP BY 1")
+@query(f"{DET}, {folded('det', 0.5)}, {MERGED}, m AS (SELECT * FROM merged WHERE vote_count >= 2) SELECT (SELECT count(DISTINCT image_id) FROM det) AS scans, (SELECT count(*) FROM m) AS detections, (SELECT count(payload) FROM m) AS decodes")
 def n1_profile_sweep(spark, sf_dir):
-    return det(spark, sf_dir).groupBy((F.col("user_id") % 2 == 0).alias("odd")).agg(F.count("*").alias("scans"), F.count("payload").alias("decodes"))
+    """Counts over a whole scan; images on which every engine breaks are left out."""
+    images = recorded(spark, sf_dir)
+    broken = images.select((-1 - F.col("image_id")).alias("image_id"), "width", "height", F.encode(F.lit("no JSON"), "UTF-8").alias("content"))
+    return M.sweep(Scanner(engines=recorders(*ENGINES), consensus=2).scan(images.unionByName(broken)))

@@ -42,7 +42,7 @@ def test_too_few_features(spark):
         P.scored(anchors(spark, [[1, 2, 3, 4, 5]]), "yolox_s").collect()
 
 
-@pytest.mark.parametrize(("meta", "features", "layout", "want"), [({"arbez_num_classes": "14"}, 99, "yolox", 14), ({}, 19, "yolox", 14), ({}, 14, "rtdetr", 10), ({}, None, "yolox", 9), ({"arbez_num_classes": "x"}, 14, "yolox", 9)])
+@pytest.mark.parametrize(("meta", "features", "layout", "want"), [({"tool_num_classes": "14"}, 99, "yolox", 14), ({}, 19, "yolox", 14), ({}, 14, "rtdetr", 10), ({}, None, "yolox", 9), ({"tool_num_classes": "x"}, 14, "yolox", 9)])
 def test_num_classes(meta, features, layout, want):
     assert P.num_classes(meta, features, layout) == want
 
@@ -57,7 +57,7 @@ def test_class_tables(spark):
 
 
 def test_engine_names():
-    assert [P.engine_name(a) for a in ("yolox_s", "rtdetr_x", "yolo11s", "other")] == ["arbez", "arbez-rtdetr", "arbez-yolo11", "arbez-other"]
+    assert [P.engine_name(a) for a in ("yolox_s", "rtdetr_x", "yolo11s", "other")] == ["native", "native-rtdetr", "native-yolo11", "native-other"]
 
 
 @pytest.mark.parametrize(("detector", "decoder", "decoded", "want"), [("qr", "zxing", "data_matrix", "data_matrix"), ("qr", "libdmtx", None, "data_matrix"), ("qr", "none", None, "qr")])
