@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou
+from ..functions.fold import clustered
+from ..functions.geometry import BOX, iou
 from .consensus import cluster_votes, merge
 
 CODE = ["image_id", "symbology", "payload"]
@@ -53,6 +54,11 @@ def decoded_clusters(det: DataFrame) -> DataFrame:
     return cluster_votes(det.filter("payload is not null")).groupBy("vote_count").agg(F.count("*").alias("clusters"))
 
 
+def read_clusters(det: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
+    """Who read what in which cluster: the fold carries what the metrics need and no more."""
+    return clustered(det.select("image_id", "engine", "engine_rank", "det_ix", *BOX, "score", "payload"), iou_threshold).select("image_id", "seed", "engine", "payload")
+
+
 def payload_agreement(rows: DataFrame) -> DataFrame:
     """Of clustered rows: per cluster the most engines that agree on one payload, as a histogram."""
     each = rows.filter("payload is not null").groupBy("image_id", "seed", "payload").agg(F.countDistinct("engine").alias("n"))

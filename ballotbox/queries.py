@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .functions.fold import clustered, suppressed
+from .functions.fold import suppressed
 from .operators import adapters as A
 from .operators import consensus as C
 from .operators import decode as D
@@ -569,7 +569,7 @@ def k7_decoded_clusters(spark, sf_dir):
 
 @query(f"{DET}, {folded('det', 0.5)}, a AS (SELECT image_id, seed, payload, count(DISTINCT engine) AS n FROM cl WHERE payload IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT max(n) AS agreeing FROM a GROUP BY image_id, seed) SELECT agreeing, count(*) AS clusters FROM m GROUP BY 1")
 def k8_payload_agreement(spark, sf_dir):
-    return M.payload_agreement(clustered(det(spark, sf_dir), 0.5))
+    return M.payload_agreement(M.read_clusters(det(spark, sf_dir)))
 
 
 @query(f"{DET}, c AS (SELECT DISTINCT engine, image_id, symbology, payload FROM det WHERE payload IS NOT NULL), u AS (SELECT count(*) AS universe FROM (SELECT DISTINCT image_id, symbology, payload FROM c)) SELECT engine, count(*) AS codes, any_value(universe) AS universe, round(count(*)::DOUBLE / any_value(universe), 6) AS recall FROM c, u GROUP BY 1")
@@ -589,7 +589,7 @@ def k11_head_to_head(spark, sf_dir):
 
 @query(f"{DET}, {folded('det', 0.5)}, r AS (SELECT DISTINCT image_id, seed, payload, engine FROM cl WHERE payload IS NOT NULL), v AS (SELECT image_id, seed, payload FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2), e AS (SELECT unnest(['{"', '".join(ENGINES)}']) AS engine), x AS (SELECT e.engine, EXISTS (SELECT 1 FROM r WHERE r.image_id = v.image_id AND r.seed = v.seed AND r.payload = v.payload AND r.engine = e.engine) AS hit, EXISTS (SELECT 1 FROM r WHERE r.image_id = v.image_id AND r.seed = v.seed AND r.engine = e.engine) AS red FROM v, e) SELECT engine, count(*) AS universe, count(*) FILTER (hit) AS correct, count(*) FILTER (NOT hit AND red) AS disagreed, count(*) FILTER (NOT red) AS missed, round(count(*) FILTER (hit)::DOUBLE / count(*), 6) AS correctness, round(count(*) FILTER (NOT hit AND red)::DOUBLE / count(*) FILTER (red), 6) AS disagreement FROM x GROUP BY 1")
 def k12_validated_recall(spark, sf_dir):
-    out = M.validated_recall(clustered(det(spark, sf_dir), 0.5), list(ENGINES))
+    out = M.validated_recall(M.read_clusters(det(spark, sf_dir)), list(ENGINES))
     return out.withColumns({c: F.round(c, 6) for c in ("correctness", "disagreement")})
 
 
