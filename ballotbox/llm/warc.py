@@ -93,7 +93,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     behind the block's HTTP header. A record of another length, or whose payload doesn't match its stated digest, raises. Payload size and digest are
     those of the full payload, which for a revisit is that of the record it refers to (column ``payload``)."""
     # one character a byte, so places in the text are places in the bytes
-    plain = lambda c: F.decode(c, F.lit("ISO-8859-1"))
+    plain = lambda c: F.decode(c, "ISO-8859-1")
     parts = records.withColumn("__end", F.instr(plain(F.col("record")), "\r\n\r\n"))
     parts = parts.withColumn("__head", F.decode(F.substring("record", F.lit(1), F.col("__end") - 1), "UTF-8"))
     field = lambda name: F.regexp_extract(F.col("__head"), rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)

@@ -157,6 +157,9 @@ def plain_syncmers(t, k=syncmers.K, s=syncmers.S):
 
 def test_syncmers(spark, docs, empty):
     for t in TEXTS[7:13]:
+        if not plain_syncmers(t):  # its least k-mer stands for it, see test_methods
+            assert len(syncmers.anchors(t)[0]) == 1
+            continue
         assert syncmers.anchors(t)[0].tolist() == plain_syncmers(t)
         at, h = syncmers.anchors("prefix " + t)
         inner, own = syncmers.anchors(t)
