@@ -98,21 +98,24 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def claim(name: str, drop: Callable[[], None] = lambda: None) -> None:
-    """Called by an operator's task in a Python worker. Workers are used again by other operators: tables that those left behind are
-    dropped here, so a worker holds those of one operator at a time. ``drop`` empties the caller's."""
-    others = [x for x in _HELD if x != name]
-    for x in others:
+    """Called at the start of an operator's task in a Python worker. Workers are used again by other operators: tables that those left behind are
+    dropped here, so a worker holds those of one operator at a time, and what earlier tasks have freed goes back to the system. ``drop`` empties the caller's."""
+    for x in [x for x in _HELD if x != name]:
         _HELD.pop(x)()
     _HELD[name] = drop
-    if others:
-        give_back()
+    give_back()
 
 
 def give_back() -> None:
-    """Return freed memory to the system."""
+    """Return freed memory to the system: Arrow's pool, then the C library's heap. From then on blocks of 64 KB or more are mapped one by one, so that they go back when freed."""
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 1 << 16)  # M_MMAP_THRESHOLD
+        library.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 

@@ -43,7 +43,7 @@ def counter(path: str) -> Kept:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     check_marks(model)
-    return Kept(lambda u: len(model.encode(u)), most=500_000)
+    return Kept(lambda u: len(model.encode(u)), most=150_000)
 
 
 def offsets(text: str, counts: Kept) -> tuple[np.ndarray, np.ndarray]:

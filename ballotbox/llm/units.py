@@ -33,12 +33,12 @@ def units(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """unit -> what ``encode`` gives for it, in two generations of at most ``most`` units, so a worker's memory stays bounded.
+    """unit -> what ``encode`` gives for it, in two generations of at most ``most`` units (some 200 bytes each), so a worker's memory stays bounded.
 
     When the young generation is full it becomes the old one; what is asked for again moves back.
     """
 
-    def __init__(self, encode, most: int = 700_000, longest: int = 64):
+    def __init__(self, encode, most: int = 150_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest, self.old = encode, most, longest, {}
 
