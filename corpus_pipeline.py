@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
 of documents. The classifiers are fitted on the labelled rows of the table itself (a bounded sample).
+
+Defined results: null texts count as empty ones everywhere. Empty texts are scored like others, are copies of one another, and are near duplicates of nothing.
+Rows with null or repeated ids are rows like others: duplicates are told by id and text, so unrelated rows that share an id all stay. Very long texts are
+read whole. Without labels of both classes the classifiers reject nothing. An empty table passes every stage as one. Further columns go
+through unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -14,28 +19,43 @@ from ballotbox.llm._common import stage
 from ballotbox.llm.queries import table
 
 
+#: Texts that a Python worker gets at once: its memory, not the result, depends on it.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier finds toxic."""
+    small_batches(spark)
     return toxicity.keep_civil(docs, toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component linked by a Jaccard index of 0.8 or more of five-word shingles."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, n=5, num=80, den=100)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
