@@ -20,11 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, stage
+from ._common import discard, shared_dir, small, stage
 
 LEAST = 100
-#: 32-byte digests of repeated payloads that may be broadcast: some 50 MB; beyond, the same join shuffles.
-BROADCAST_DIGESTS = 500_000
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -64,19 +62,24 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     slim = full.select("page_id", "url", "digest", F.length("payload").cast("long").alias("payload_bytes"))
     # payloads stay behind: only ids, urls and digests are shuffled to find the responses
     numbered = slim.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-    again = slim.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"), F.min("payload_bytes").alias("b")).filter((F.col("n") > 1) & (F.col("b") >= least)).select(F.col("digest").alias("d"), F.col("least"))
+    several = slim.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"), F.min("payload_bytes").alias("b")).filter("n > 1")
+    # staged and counted: beyond the bound both sides of the joins below are shuffled, and Spark may split a digest that very many records share
+    several = stage(several.select(F.col("digest").alias("d"), "least", "b"), "warc-several")
+    few = small(several)
+    again = several.filter(F.col("b") >= least).select("d", "least")
+    again = F.broadcast(again) if few else again
     answer = F.col("d").isNull() | (F.col("page_id").eqNullSafe(F.col("least")) & (F.col("copy") == 1))
     typed = numbered.join(again, F.col("digest") == F.col("d"), "left").withColumn("record_type", F.when(answer, "response").otherwise("revisit")).withColumn("refers_to", F.when(~answer, F.col("least")))
     typed.select("page_id", "copy", "digest", "record_type", "refers_to", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # each digest once: of digests with several records, all rows but the response's stay behind
-    several = stage(slim.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), F.col("least")), "warc-several")
-    small = several.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    met = full.select("page_id", "digest", "payload").join(F.broadcast(several) if small else several, F.col("digest") == F.col("d"), "left")
+    firsts = several.select("d", "least")
+    met = full.select("page_id", "digest", "payload").join(F.broadcast(firsts) if few else firsts, F.col("digest") == F.col("d"), "left")
     once = met.filter(F.col("d").isNull() | F.col("page_id").eqNullSafe(F.col("least")))
     # repeated rows are told by the headers: only then is a further step needed
     if not Archive(path).headers(spark).filter("copy > 1").isEmpty():
         once = once.dropDuplicates(["digest"])
     once.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/blobs")
+    discard(several)
     return Archive(path)
 
 
