@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fold import suppressed
@@ -81,6 +82,11 @@ def detections(anchors: DataFrame, arch: str, confidence: float = CONFIDENCE, nm
     return suppressed(rows, nms, keys, order) if layout == "yolo11" else rows
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """With ``det_ix``, the place in the image by falling score; ties by anchor."""
+    return rows.withColumn("det_ix", (F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("score"), "anchor_ix")) - 1).cast("int"))
+
+
 def with_symbology(rows: DataFrame, classes: int) -> DataFrame:
     """Symbology and class name of ``class_id`` by the table for ``classes``; an unknown id or table gives the pooled symbology."""
     dim = dim_model_class(rows.sparkSession).filter(F.col("num_classes") == classes).select("class_id", F.col("symbology").alias("__s"))

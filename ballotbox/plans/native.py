@@ -104,7 +104,7 @@ def decoded(boxes: DataFrame, images: DataFrame, reader: Callable[[], Reader] |
     Without a reader (detect-only) all payloads are null.
     """
     keys = ["image_id", "anchor_ix"]
-    rows = P.with_symbology(boxes, model_classes).withColumnRenamed("symbology", "detector")
+    rows = P.with_symbology(P.ranked(boxes), model_classes).withColumnRenamed("symbology", "detector")
     if reader is None:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("payload", "stage", "read_symbology")})
     else:
@@ -125,7 +125,7 @@ def decoded(boxes: DataFrame, images: DataFrame, reader: Callable[[], Reader] |
         rows = rows.join(again, keys, "left").withColumns({"decoder": F.when(F.col("second").isNotNull(), "libdmtx").otherwise(F.col("decoder")), "stage": F.when(F.col("second").isNull(), F.col("stage")), "payload": F.coalesce("payload", "second")})
     rows = rows.withColumn("symbology", D.reconciled(F.col("decoder"), F.col("read_symbology"), F.col("detector")))
     extras = D.extras(F.col("decoder"), F.col("class_id"), F.col("class_name"), F.col("stage"), F.col("detector"), F.col("symbology"))
-    rows = rows.withColumns({"extras": extras, "polygon": corners(columns()), "engine": F.lit(OWN), "engine_rank": F.lit(ENGINES.index(OWN)), "det_ix": F.col("anchor_ix")})
+    rows = rows.withColumns({"extras": extras, "polygon": corners(columns()), "engine": F.lit(OWN), "engine_rank": F.lit(ENGINES.index(OWN))})
     return rows.select(*[F.col(x.split()[0]).cast(x.split(maxsplit=1)[1]) for x in DETECTIONS.split(", ")])
 
 

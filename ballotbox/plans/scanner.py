@@ -290,6 +290,12 @@ def table_engine(name: str) -> Engine:
     return Recorded()
 
 
+def hints(engine: Engine) -> dict[str, str]:
+    """What an engine says of itself: the pixels that it likes best, and whether one instance may serve several threads. A Python worker runs one task with its own
+    instances, so neither changes a scan."""
+    return {"native_format": getattr(engine, "native_format", "any"), "thread_safety": getattr(engine, "thread_safety", "shared")}
+
+
 def auto_resolve() -> str:
     """The first installed engine in canonical order."""
     if not installed():

@@ -130,6 +130,14 @@ def h5_iou_pairs(spark, sf_dir):
     return met.filter("iou > 0").select("image_id", "a_ix", "b_ix", F.round("iou", 6).alias("iou"))
 
 
+@query(f"{DET}, {folded('det', 0.5)}, p AS (SELECT image_id, seed, min(pos) AS pos FROM n GROUP BY 1, 2 HAVING count(DISTINCT engine) >= 2) SELECT image_id, n.x1 AS first_x, n.y1 AS first_y, n.x2 AS third_x, n.y2 AS third_y FROM n JOIN p USING (image_id, seed, pos)")
+def h11_polygon(spark, sf_dir):
+    """The polygon of the best member."""
+    merged = C.merge(det(spark, sf_dir).withColumn("polygon", G.corners(G.columns())), 2)
+    a, c = F.col("polygon")[0], F.col("polygon")[2]
+    return merged.select("image_id", a["x"].alias("first_x"), a["y"].alias("first_y"), c["x"].alias("third_x"), c["y"].alias("third_y"))
+
+
 @query(f"{DET}, {folded('det', 0.5)}, {MERGED} SELECT image_id, symbology, payload, round(merged.score, 6) AS score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY merged.score DESC, fs.score DESC, fs.engine_rank, seed) - 1 AS INT) AS code_ix FROM merged JOIN (SELECT image_id AS ii, det_ix AS seed2, score, engine_rank FROM det) fs ON fs.ii = image_id AND seed2 = seed WHERE vote_count >= 2")
 def h16_output_order(spark, sf_dir):
     return C.merge(det(spark, sf_dir), 2).select("image_id", "symbology", "payload", F.round("score", 6).alias("score"), "code_ix")
@@ -300,6 +308,11 @@ def d7_nms_detections(spark, sf_dir):
     return suppressed(det(spark, sf_dir).select("image_id", "symbology", "det_ix", "score", *G.BOX), P.NMS, ("image_id", "symbology")).select("image_id", "symbology", "det_ix")
 
 
+@query(f"WITH {_scored('yolo11')}, u AS (SELECT * REPLACE ({_BOTH}) FROM k) SELECT image_id, anchor_ix, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, anchor_ix) - 1 AS INT) AS det_ix FROM u")
+def d13_rank(spark, sf_dir):
+    return P.ranked(P.unscaled(P.scored(anchors(spark, sf_dir, "yolo11"), "yolo11"), "both")).select("image_id", "anchor_ix", "det_ix")
+
+
 for _classes in (14, 9, 7):
     _names = {14: SYMBOLOGIES[:14], 9: "qr code_128 data_matrix code_39 code_93 pdf417 gs1_databar other_1d micro_qr".split(), 7: []}[_classes]
     _cases = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_names)) or "WHEN -1 THEN ''"
@@ -366,6 +379,15 @@ def e7_reconcile(spark, sf_dir):
     return d.select("det_ix", F.col("final").alias("symbology"), F.col("extras")["decoder"].alias("decoder"), F.col("extras")["detector_symbology"].alias("detector_symbology"))
 
 
+@query(f"{DET}, r AS (SELECT det_ix, {_DECODER} AS decoder, symbology AS detector, CASE WHEN {_DECODER} = 'libdmtx' THEN 'data_matrix' ELSE coalesce({_DECODED}, symbology) END AS final, CASE WHEN user_id % 2 = 0 THEN 'tight' END AS stage FROM det) SELECT det_ix, 'decode_stage=' || coalesce(stage, '') || ' decoder=' || decoder || ' detector_symbology=' || coalesce(CASE WHEN detector <> final THEN upper(detector) END, '') || ' model_class_id=' || (det_ix % 14) || ' model_class_name=' || detector AS extras, 3 + CAST(stage IS NOT NULL AS INT) + CAST(detector <> final AS INT) AS keys FROM r")
+def e8_extras(spark, sf_dir):
+    d = det(spark, sf_dir).withColumns({"decoder": F.expr(_DECODER), "decoded": F.expr(_DECODED), "stage": F.when(F.col("user_id") % 2 == 0, "tight")})
+    final = D.reconciled(F.col("decoder"), F.col("decoded"), F.col("symbology"))
+    d = d.withColumn("extras", D.extras(F.col("decoder"), F.col("det_ix") % 14, F.col("symbology"), F.col("stage"), F.col("symbology"), final))
+    pairs = [F.concat(F.lit(f"{k}="), F.coalesce(F.col("extras")[k], F.lit(""))) for k in ("decode_stage", "decoder", "detector_symbology", "model_class_id", "model_class_name")]
+    return d.select("det_ix", F.concat_ws(" ", *pairs).alias("extras"), F.size("extras").alias("keys"))
+
+
 # --- lookups --------------------------------------------------------------------------------------------------------
 
 #: Fixed values, spelled out apart from the implementation's own table.

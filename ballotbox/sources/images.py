@@ -202,8 +202,13 @@ def letterboxed(pixels: np.ndarray, size: int = 640) -> tuple[np.ndarray, float]
 def anchor_rows(outputs: list[np.ndarray], arch: str | None) -> np.ndarray:
     """One row per anchor from a model's output tensors: RT-DETR's boxes before its logits, YOLO11's features as columns."""
     layout = family(arch)
+    wanted = 2 if layout == "rtdetr" else 1
+    if len(outputs) < wanted or any(x.ndim != 3 or x.shape[0] != 1 for x in outputs[:wanted]):
+        raise ValueError(f"{layout} wants {wanted} tensors of one image each (1, rows, features); got {[x.shape for x in outputs]}")
     if layout == "rtdetr":
-        logits, boxes = outputs
+        logits, boxes = outputs[:2]
+        if logits.shape[1] != boxes.shape[1] or boxes.shape[2] != 4:
+            raise ValueError(f"logits {logits.shape} and boxes {boxes.shape} don't belong together")
         return np.concatenate([boxes[0], logits[0]], 1)
     return outputs[0][0].T if layout == "yolo11" else outputs[0][0]
 

@@ -30,6 +30,20 @@ def available_providers() -> tuple[str, ...]:
     return tuple(onnxruntime.get_available_providers())
 
 
+def features(spark: SparkSession) -> dict[str, object]:
+    """What can be read and run here: formats that Python and the JVM decode, the runtime and its providers."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    from .pixels import readable
+
+    try:
+        runtime = version("onnxruntime")
+    except PackageNotFoundError:
+        runtime = None
+    jvm = sorted({str(x).lower() for x in spark._jvm.javax.imageio.ImageIO.getReaderFormatNames()})
+    return {"python_formats": readable(), "jvm_formats": tuple(jvm), "onnxruntime": runtime, "providers": available_providers(), "cuda": "CUDAExecutionProvider" in available_providers(), "coreml": "CoreMLExecutionProvider" in available_providers()}
+
+
 def providers(wanted: list[str] | tuple[str, ...] | None = None) -> list[str]:
     """The caller's list with the CPU behind it, else what is preferred and there, then the CPU."""
     chosen = list(wanted) if wanted is not None else [x for x in PREFERRED if x in available_providers()]

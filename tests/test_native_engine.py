@@ -215,3 +215,32 @@ def test_result_lines(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value.startswith("qr 1.000 [40.0, 40.0, ")
     I.write_results(results.drop("timings_ms"), str(tmp_path / "json"), "json")
     assert spark.read.json(str(tmp_path / "json")).select(F.col("detections")[0]["payload"]).first()[0] == "line"
+
+
+def test_hints_features_and_shapes(spark):
+    assert S.hints(reader.Plain()) == {"native_format": "rgb", "thread_safety": "shared"} and S.hints(Odd())["native_format"] == "any"
+    told = models.features(spark)
+    assert "png" in told["python_formats"] and "jpeg" in told["jvm_formats"] and models.CPU in told["providers"] and told["onnxruntime"]
+    for outputs, arch in (([np.zeros((8400, 19))], "yolox_s"), ([np.zeros((2, 8400, 19))], "yolox_s"), ([np.zeros((1, 300, 14))], "rtdetr"), ([np.zeros((1, 300, 14)), np.zeros((1, 200, 4))], "rtdetr")):
+        with pytest.raises(ValueError):
+            I.anchor_rows(outputs, arch)
+
+
+def test_sampled_files(spark, tmp_path):
+    for i in range(9):
+        (tmp_path / f"{i}.png").write_bytes(corpus.to_png(np.zeros((2, 3), np.uint8)))
+    files = I.read_files(spark, str(tmp_path), "*.png")
+    some = [r.path for r in I.sampled(files, 4, seed=1).collect()]
+    assert len(set(some)) == 4 and some == [r.path for r in I.sampled(files, 4, seed=1).collect()]
+    assert I.sampled(files, 0).count() == 9 and {(r.width, r.height, r.error) for r in files.collect()} == {(3, 2, None)}
+
+
+def test_detailed_consensus(spark):
+    from ballotbox.operators import consensus as C
+    from ballotbox.schema import DETECTIONS
+
+    one = spark.createDataFrame([(1, "x", 0, 0, 0.0, 0.0, 9.0, 9.0, 0.9, "qr", "p", None, {})], DETECTIONS)
+    merged, raw = C.run_detailed({"a": one, "b": one}, 2)
+    assert merged.first().voted_by == ["a", "b"] and sorted(r.engine for r in raw.collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        C.run({"a": one}, 2)
