@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +96,34 @@ def keep_matching(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(sized(keys.withColumnRenamed(key, "__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
+def map_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` over a table with a long ``doc_id``, which reaches ``run`` as nullable integers: pandas alone would make floats of a batch that holds a
+    null, and large ids would no longer be exact."""
+    sent = df.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0)), "__no_id": F.col("doc_id").isNull()})
+
+    def run_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole() -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                none = pdf.pop("__no_id").to_numpy(bool)
+                pdf["doc_id"] = pd.arrays.IntegerArray(pdf["doc_id"].to_numpy(np.int64), none)
+                yield pdf
+
+        return run(whole())
+
+    return sent.mapInPandas(run_whole, schema)
+
+
+def framed(rows: list[tuple], columns: list[str], at: int = 0) -> pd.DataFrame:
+    """A frame of tuples whose ``at``-th value is an id or None."""
+    out = pd.DataFrame(rows, columns=columns)
+    out[columns[at]] = pd.array([r[at] for r in rows], dtype="Int64")
+    return out
+
+
+def ids_of(pdf: pd.DataFrame) -> list[int | None]:
+    return [None if x is pd.NA else int(x) for x in pdf["doc_id"].array]
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 

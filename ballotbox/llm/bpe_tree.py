@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim
+from ._common import claim, map_rows
 from .units import ANCHOR, Encoder, rank_bytes, rank_encoder, units
 
 LEAF = 2048
@@ -106,4 +106,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
             yield pd.concat([pdf[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, schema)
+    return map_rows(source, run, schema)

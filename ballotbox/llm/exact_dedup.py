@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, WHITE, claim, discard, keep_matching, sized, stage
+from ._common import BROADCAST_BYTES, WHITE, claim, discard, keep_matching, map_rows, sized, stage
 
 FP_BITS = 48
 #: Rows of a sender's list at most (but for the last batch), and rows for each so many of which there is one owner.
@@ -124,7 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = stage(slim.select("row_no", "doc_id", "n_chars", F.xxhash64("norm").alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
     n_rows = slim.count()
     n_owners = max(1, -(-n_rows // OWNER_ROWS))
-    sent = stage(slim.mapInPandas(_senders(n_owners), _SENT), "exact-sent", ("kind",))
+    sent = stage(map_rows(slim, _senders(n_owners), _SENT), "exact-sent", ("kind",))
     discard(slim)
     rows = sent.filter("kind = 0").select("row_no", "doc_id", "n_chars", "hash", "sha", "sender", "owner", "rank")
     lists = sent.filter("kind = 1").select("sender", "owner", "n", "blob", "multi")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, Scratch, claim, discard, keep_matching, sized, small, stage
+from ._common import WHITE, Scratch, claim, discard, framed, ids_of, keep_matching, map_rows, sized, small, stage
 
 LEAST_WORDS = 50
 #: Texts are hashed in groups of so many bytes, longer ones alone.
@@ -77,13 +77,12 @@ def _entries(least: int):
         claim("lines", _POWERS.clear)
         for pdf in batches:
             out = []
-            for row_no, doc_id, text in zip(pdf["row_no"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for row_no, doc_id, text in zip(pdf["row_no"].tolist(), ids_of(pdf), pdf["text"].tolist(), strict=True):
                 numbers, hashes, counts = line_hashes(text)
                 for i, j in windows(counts, least):
                     pick = min(range(i, j + 1), key=lambda k: (hashes[k], -k))
                     out.append((row_no, doc_id, numbers[i], numbers[j], int.from_bytes(hashes[pick][:8], "little", signed=True), xxhash.xxh3_64_intdigest(np.int64([row_no, pick]).tobytes()) >> 1, xxhash.xxh3_128_digest(b"".join(hashes[i : j + 1]))))
-            frame = pd.DataFrame(out, columns=["row_no", "doc_id", "i", "j", "fp", "place", "win"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield framed(out, ["row_no", "doc_id", "i", "j", "fp", "place", "win"], at=1)
 
     return run
 
@@ -91,7 +90,7 @@ def _entries(least: int):
 def repeated_lines(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Staged ``(row_no, a array<int>, b array<int>)``: first and last lines of the runs to delete, for staged ``rows(row_no, doc_id, text)``."""
     scratch = Scratch()
-    entries = scratch.stage(rows.mapInPandas(_entries(least), "row_no long, doc_id long, i int, j int, fp long, place long, win binary"), "lines-windows")
+    entries = scratch.stage(map_rows(rows, _entries(least), "row_no long, doc_id long, i int, j int, fp long, place long, win binary"), "lines-windows")
     # fingerprints at two places or more; a few bytes for each leave a task, however often one repeats there
     again = scratch.stage(entries.groupBy("fp").agg(F.min("place").alias("p"), F.max("place").alias("q")).filter("p <> q").select("fp"), "lines-again")
     suspects = scratch.stage(entries.join(sized(again), "fp", "left_semi").select("row_no", "doc_id", "i", "j", "win"), "lines-suspects")
@@ -272,7 +271,7 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     def flat(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, F.col("first.row_no").alias("first_row"), F.col("first.at").alias("first_at"))
 
-    entries = scratch.stage(rows.mapInPandas(_word_entries(least), "row_no long, doc_id long, a int, b int, fp long, body long"), "words-entries")
+    entries = scratch.stage(map_rows(rows, _word_entries(least), "row_no long, doc_id long, a int, b int, fp long, body long"), "words-entries")
     # fingerprints of two entries or more, or of one that can repeat itself
     again = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("run")).filter((F.col("n") > 1) | (F.col("run") >= least))
     again = scratch.stage(again.select("fp"), "words-again")
@@ -287,7 +286,7 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     # a row's entries are bounded by its words
     asked = scratch.stage(marked.filter("not whole").groupBy("row_no").agg(F.collect_list(F.struct("a", "b", "fp")).alias("x")).select("row_no", "x.a", "x.b", "x.fp"), "words-asked")
     texts = keep_matching(rows, asked.select("row_no"), "row_no").join(asked, "row_no")
-    wins = scratch.stage(texts.mapInPandas(_word_windows(least), "row_no long, doc_id long, pos int, fp long, win long"), "words-windows")
+    wins = scratch.stage(map_rows(texts, _word_windows(least), "row_no long, doc_id long, pos int, fp long, win long"), "words-windows")
     first = wins.groupBy("fp", "win").agg(F.min(order("pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.stage(flat(first, "fp", "win"), "words-firsts")
     single = wins.join(sized(first), ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))

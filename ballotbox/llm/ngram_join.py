@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, claim, components, discard, sized, stage
+from ._common import Scratch, claim, components, discard, framed, ids_of, map_rows, sized, stage
 
 FREQUENT = 32
 #: Frequent classes told to all tasks: 4 bytes each, 4 MB at most.
@@ -280,7 +280,7 @@ def _index(n: int, num: int, den: int, frequent, k: int):
         common, seen = Common(frequent.value), set()
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for doc_id, text in zip(ids_of(pdf), pdf["text"].tolist(), strict=True):
                 s = shingles(text, n)
                 if len(s) * (den - num) < num:  # not one token may differ
                     continue
@@ -289,8 +289,8 @@ def _index(n: int, num: int, den: int, frequent, k: int):
                     continue
                 seen.add(d)
                 bits = parity(s, max(LEAST_BITS, 1 << len(s).bit_length()))
-                out.append((None if doc_id is None or doc_id != doc_id else int(doc_id), d, len(s), bits, signed(keys_of(s, common, num, den, k)), *folded_parity(bits)))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "n", "map", "keys", *_BITS]).astype({"doc_id": "Int64"} | dict.fromkeys(["n", *_BITS], "int64"))
+                out.append((doc_id, d, len(s), bits, signed(keys_of(s, common, num, den, k)), *folded_parity(bits)))
+            yield framed(out, ["doc_id", "digest", "n", "map", "keys", *_BITS]).astype(dict.fromkeys(["n", *_BITS], "int64"))
 
     return run
 
@@ -346,7 +346,7 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
     owners = min(4096, max(64, 8 * parts))
 
     scratch = Scratch()
-    sent = stage(source.mapInPandas(_sketch(n, owners), _SENT), "ngram-sent", ("kind",))
+    sent = stage(map_rows(source, _sketch(n, owners), _SENT), "ngram-sent", ("kind",))
     rows = sent.filter("kind = 0").select("doc_id", "h1", "h2", "n", "digest")
     blobs = sent.filter("kind = 1").select("owner", "blob", "at", "times").repartition(parts, "owner").sortWithinPartitions("owner")
     found = scratch.stage(blobs.mapInPandas(_count_classes(owners, frequent), "class long, df long"), "ngram-frequent")
@@ -356,7 +356,7 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
     copies = scratch.stage(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("k")).filter("k > 1").select("digest", "least_id"), "ngram-copies")
 
     texts = source.select("doc_id", "text")
-    made = texts.mapInPandas(_index(n, num, den, told, 1), f"digest binary, {_INDEXED}")
+    made = map_rows(texts, _index(n, num, den, told, 1), f"digest binary, {_INDEXED}")
     made = scratch.stage(made.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
     # a set that several tasks have met is one node, the least
     doubled = made.select("digest", "node").join(sized(copies.select("digest")), "digest")
@@ -371,7 +371,7 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
         match = F.col("doc_id").eqNullSafe(F.col("__id"))
         some_texts = texts.join(sized(ids), match, "left_semi")
         # repeated ids may bring a node from several tasks: what follows takes distinct keys and pairs
-        return some_texts.mapInPandas(run, f"digest binary, {schema}").join(sized(who.select("node", "digest")), "digest")
+        return map_rows(some_texts, run, f"digest binary, {schema}").join(sized(who.select("node", "digest")), "digest")
 
     def grouped(entries: DataFrame) -> DataFrame:
         """Staged ``(key, node, pivot, size)`` of keys with two nodes or more. Keys are counted with one small row a task and key; the rows themselves are

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim
+from ._common import claim, framed, ids_of, map_rows
 from .units import Encoder, units
 
 SIZE = 2048
@@ -187,11 +187,10 @@ def _pack(path: str, size: int, closing: int, block: int):
                 at += n
             sequence += len(chosen) - 1
             open_, tokens = rest, at - stop
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PIECE.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            yield framed(rows, [x.split()[0] for x in _PIECE.split(", ")])
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for doc_id, text in zip(ids_of(pdf), pdf["text"].tolist(), strict=True):
                 parts = (text or "").split(SPECIAL)
                 data, ends = encode(parts[0])
                 for x in parts[1:]:
@@ -199,7 +198,7 @@ def _pack(path: str, size: int, closing: int, block: int):
                     n = len(data) // 4 + 1
                     data, ends = data + _special(path) + more, ends + [n + e for e in further]
                 data += end_bytes
-                open_.append([None if doc_id is None or doc_id != doc_id else int(doc_id), len(data) // 4, data, 0, ends])
+                open_.append([doc_id, len(data) // 4, data, 0, ends])
                 tokens += len(data) // 4
                 if tokens >= block:
                     yield from solve(False)
@@ -232,6 +231,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, closing: int = 1, id
     ``tokenizer``: the path of a tokenizers file, readable on every executor; ``closing``: the id that ends each document.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(_pack(tokenizer, size, closing, block), _PIECE)
+    return map_rows(source, _pack(tokenizer, size, closing, block), _PIECE)
 
 

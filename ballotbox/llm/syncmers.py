@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim, stage
+from ._common import claim, framed, ids_of, map_rows, stage
 
 #: A sketch holds LEAST hashes (all, of a text with fewer), or one in SHARE of the distinct anchors where that is more.
 K, S, LEAST, SHARE = 12, 5, 128, 8
@@ -154,12 +154,12 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns, last = [x.split()[0] for x in _DONE.split(", ")], None
     for pdf in batches:
         out = []
-        for doc_id, text, guest in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["guest"].tolist(), strict=True):
-            now = None if doc_id is None or doc_id != doc_id else int(doc_id), text, fingerprint(text)
+        for doc_id, text, guest in zip(ids_of(pdf), pdf["text"].tolist(), pdf["guest"].tolist(), strict=True):
+            now = doc_id, text, fingerprint(text)
             if last is not None:
                 out.append(_row(*last, now[1], now[2]))
             last = None if guest else now
-        yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", **{x.split()[0]: "Int64" for x in _DONE.split(", ") if x.endswith(" long")}})
+        yield framed(out, columns).astype({x.split()[0]: "Int64" for x in _DONE.split(", ") if x.endswith(" long")})
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     guests = met.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
     rows = dealt.select("doc_id", "text", "tie", "part", F.lit(False).alias("guest")).unionByName(guests.select("doc_id", "text", "tie", F.col("to").alias("part"), F.lit(True).alias("guest")))
     sorted_ = rows.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return sorted_.select("doc_id", "text", "guest").mapInPandas(_neighbours, _DONE)
+    return map_rows(sorted_.select("doc_id", "text", "guest"), _neighbours, _DONE)

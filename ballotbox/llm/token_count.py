@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim
+from ._common import claim, map_rows
 from .units import Kept, units
 
 CHUNK, OVERLAP, LIMIT = 16_384, 256, 4096
@@ -102,4 +102,4 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": n > limit})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(source, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

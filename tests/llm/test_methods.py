@@ -270,3 +270,21 @@ def test_a_text_of_very_many_lines(spark):
         got = {x.doc_id: x for x in run(df).collect()}
         assert (got[1].n_removed, got[2].n_removed, got[2].text) == (0, 100_000, "own start\nown end")
         assert time.time() - began < 60
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids beyond 2**53 stay exact in every operator."""
+    from ballotbox.llm import bpe_tree, exact_dedup, packing
+
+    big, passage = (1 << 60) + 1, " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(big, passage), (None, "other text"), (big + 2, passage), (big + 4, passage + " x")], "doc_id long, text string").coalesce(1)
+    ids = lambda out, c="doc_id": sorted(r[c] for r in out.collect() if r[c] is not None)
+    every = [big, big + 2, big + 4]
+    assert ids(exact_dedup.exact_groups(df)) == every and ids(exact_dedup.exact_groups(df), "keep_id") == [big, big, big + 4]
+    assert ids(ngram_join.link_components(df, 3, 90, 100), "component_id") == [big] * 3
+    assert ids(ngram_join.keep_one(df, 5, 80, 100)) == [big]
+    assert ids(token_count.token_counts(df, P.path("piece_bpe_32k.model"))) == every
+    assert ids(bpe_tree.encode_decode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)) == every
+    assert ids(packing.pack(df, P.path("byte_bpe_50k.json"))) == every
+    assert ids(syncmers.edited_fingerprints(df)) == every
+    assert {r.doc_id: r.n_words_removed for r in line_dedup.dedup_passages(df).collect()} == {big: 0, None: 0, big + 2: 60, big + 4: 60}
