@@ -259,7 +259,8 @@ def _word_windows(least: int):
 def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Staged ``(row_no, a array<int>, b array<int>)``: the first and last of neighbouring windows that equal earlier ones, for staged ``rows(row_no, doc_id, text)``.
 
-    What is joined by fingerprint is staged before, counted, so that Spark may split the rows of a frequent passage."""
+    Counts and firsts are staged before they are joined by fingerprint, so that Spark may split the rows of a frequent passage. Those joins shuffle at every size: the lists
+    grow with the text."""
     scratch = Scratch()
 
     def order(at: str):
@@ -275,13 +276,13 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     # fingerprints of two entries or more, or of one that can repeat itself
     again = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("run")).filter((F.col("n") > 1) | (F.col("run") >= least))
     again = scratch.stage(again.select("fp"), "words-again")
-    suspects = scratch.stage(entries.join(sized(again), "fp", "left_semi"), "words-suspects")
+    suspects = scratch.stage(entries.join(again, "fp", "left_semi"), "words-suspects")
     discard(entries)
     firsts = scratch.stage(flat(suspects.groupBy("fp", "body").agg(F.min(order("a")).alias("first")), "fp", "body"), "words-firsts")
     kinds = scratch.stage(firsts.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "words-kinds")
-    met = suspects.join(sized(firsts), ["fp", "body"]).withColumn("whole", later("a")).join(sized(kinds), "fp", "left")
+    met = suspects.join(firsts, ["fp", "body"]).withColumn("whole", later("a")).join(kinds, "fp", "left")
     marked = scratch.stage(met.filter(F.col("whole") | F.col("kinds").isNotNull() | (F.col("b") - F.col("a") >= least)).select("row_no", "doc_id", "fp", "a", "b", "whole"), "words-marked")
-    for done in (suspects, firsts):
+    for done in (again, suspects, firsts, kinds):
         discard(done)
     # a row's entries are bounded by its words
     asked = scratch.stage(marked.filter("not whole").groupBy("row_no").agg(F.collect_list(F.struct("a", "b", "fp")).alias("x")).select("row_no", "x.a", "x.b", "x.fp"), "words-asked")
@@ -289,7 +290,8 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     wins = scratch.stage(map_rows(texts, _word_windows(least), "row_no long, doc_id long, pos int, fp long, win long"), "words-windows")
     first = wins.groupBy("fp", "win").agg(F.min(order("pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.stage(flat(first, "fp", "win"), "words-firsts")
-    single = wins.join(sized(first), ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
+    discard(asked)
+    single = wins.join(first, ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
     found = marked.filter("whole").select("row_no", "a", "b").unionByName(single)
     cuts = stage(found.groupBy("row_no").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("row_no", "x.a", "x.b"), "words-cuts")
     scratch.clear()
