@@ -384,6 +384,8 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
     def near(pairs: DataFrame) -> DataFrame:
         """Of staged ``(a, b)`` those whose parity maps allow a link, staged. A map has a bit for each token or more; of two sizes the larger is
         folded. Each odd bit of the XOR holds a token that one set lacks, so their number bounds the symmetric difference from below."""
+        if pairs.isEmpty():
+            return pairs
         of = made.select("node", F.struct("n", "map").alias("of"))
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
         least = F.least(F.size("x.map"), F.size("y.map"))
@@ -399,6 +401,8 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of staged ``(a, b)`` those that link, by their whole sets, staged; a pair may come repeatedly."""
+        if pairs.isEmpty():
+            return pairs
         some = scratch.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-some")
         sets = scratch.stage(read_again(some, _sets(n), "tokens array<long>").select("node", "tokens"), "ngram-sets")
         a, b = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
@@ -447,6 +451,8 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
         labels = labelled(links)
         open_ = open_groups(members, labels)
         discard(members)
+        if open_.isEmpty():
+            break
         able = (F.col("size") > frequent) & extendable(F.col("n"), num, den, k + 1) if k < MOST_TOKENS else F.lit(False)
         links.append(linked(near(crossing(open_, able))))
         again = scratch.stage(open_.filter(able).select("node").distinct(), "ngram-again")

@@ -49,10 +49,6 @@ def test_stages_against_brute_force(spark):
     assert sum(p.length for p in steps["packing"](spark, unlike, SF).collect()) == tokens
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
-
-
 #: Columns that the operators use inside too.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, predicted int, score double, held_out boolean, h1 long, digest string, key string, node long, kind int, part int, `__keep` int"
 LONG = " ".join(f"word{i}" for i in range(30))
@@ -104,5 +100,6 @@ def test_run_is_its_stages(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
     key = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    assert sum(r.length for r in docs.collect()) == sum(r.length for r in corpus_pipeline.run(spark, SF).collect())
-    assert {r.doc_id for r in docs.select(*key).collect()} == {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    made = corpus_pipeline.run(spark, SF).collect()
+    assert made and sum(r.length for r in docs.collect()) == sum(r.length for r in made)
+    assert {r.doc_id for r in docs.select(*key).collect()} == {r.doc_id for r in made}
