@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there, so an executor lost later costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     for k, v in _WHILE_STAGED.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -91,6 +91,12 @@ def sized(staged: DataFrame) -> DataFrame:
     return F.broadcast(staged) if small(staged) else staged
 
 
+def hashed(staged: DataFrame) -> DataFrame:
+    """The side of a join with at most one row a key, a few numbers wide: both sides are shuffled, this one is hashed partition by partition, and the other need not be sorted;
+    Spark may split its frequent keys."""
+    return staged.hint("shuffle_hash")
+
+
 def keep_matching(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in the staged ``keys`` (one distinct column of that name, nulls match)."""
     return rows.join(sized(keys.withColumnRenamed(key, "__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, claim, components, discard, framed, ids_of, map_rows, sized, stage
+from ._common import Scratch, claim, components, discard, framed, hashed, ids_of, map_rows, sized, stage
 
 FREQUENT = 32
 #: Frequent classes told to all tasks: 4 bytes each, 4 MB at most.
@@ -377,7 +377,7 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
         """Staged ``(key, node, pivot, size)`` of keys with two nodes or more. Keys are counted with one small row a task and key; the rows themselves are
         then joined with the counts, staged before, so that Spark may split a frequent key."""
         pivots = scratch.stage(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "ngram-pivots")
-        out = scratch.stage(entries.join(pivots.hint("merge"), "key"), "ngram-members")
+        out = scratch.stage(entries.join(hashed(pivots), "key"), "ngram-members")
         discard(pivots)
         return out
 
@@ -421,7 +421,7 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
         placed = scratch.stage(members.filter("size > 2").join(labels, "node", "left").select("key", "node", "pivot", "size", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
         main = scratch.stage(counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("key", F.col("top.comp").alias("main")), "ngram-main")
-        out = scratch.stage(placed.join(main.hint("merge"), "key").join(made.select("node", "n", *_BITS), "node"), "ngram-open")
+        out = scratch.stage(placed.join(hashed(main), "key").join(made.select("node", "n", *_BITS), "node"), "ngram-open")
         for done in (placed, main):
             discard(done)
         return out
