@@ -91,12 +91,6 @@ def sized(staged: DataFrame) -> DataFrame:
     return F.broadcast(staged) if small(staged) else staged
 
 
-def hashed(staged: DataFrame) -> DataFrame:
-    """The side of a join with at most one row a key, a few numbers wide: both sides are shuffled, this one is hashed partition by partition, and the other need not be sorted;
-    Spark may split its frequent keys."""
-    return staged.hint("shuffle_hash")
-
-
 def keep_matching(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in the staged ``keys`` (one distinct column of that name, nulls match)."""
     return rows.join(sized(keys.withColumnRenamed(key, "__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, Scratch, claim, discard, framed, hashed, ids_of, keep_matching, map_rows, sized, small, stage
+from ._common import WHITE, Scratch, claim, discard, framed, ids_of, keep_matching, map_rows, sized, small, stage
 
 LEAST_WORDS = 50
 #: Texts are hashed in groups of so many bytes, longer ones alone.
@@ -278,12 +278,12 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     # fingerprints of two entries or more, or of one that can repeat itself
     again = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("run")).filter((F.col("n") > 1) | (F.col("run") >= least))
     again = scratch.stage(again.select("fp"), "words-again")
-    suspects = scratch.stage(entries.join(hashed(again), "fp", "left_semi"), "words-suspects")
+    suspects = scratch.stage(entries.join(again, "fp", "left_semi"), "words-suspects")
     discard(entries)
     firsts = scratch.stage(flat(suspects.groupBy("fp", "body").agg(F.min(order("a")).alias("first")), "fp", "body"), "words-firsts")
     kinds = firsts.groupBy("fp").agg(F.count("*").alias("kinds"))
     known = scratch.stage(firsts.join(kinds, "fp"), "words-known")
-    met = suspects.join(hashed(known), ["fp", "body"]).withColumn("whole", later("a"))
+    met = suspects.join(known, ["fp", "body"]).withColumn("whole", later("a"))
     marked = scratch.stage(met.filter(F.col("whole") | (F.col("kinds") > 1) | (F.col("b") - F.col("a") >= least)).select("row_no", "doc_id", "fp", "a", "b", "whole"), "words-marked")
     for done in (again, suspects, firsts, known):
         discard(done)
@@ -294,7 +294,7 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     first = wins.groupBy("fp", "win").agg(F.min(order("pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.stage(flat(first, "fp", "win"), "words-firsts")
     discard(asked)
-    single = wins.join(hashed(first), ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
+    single = wins.join(first, ["fp", "win"]).filter(later("pos")).select("row_no", F.col("pos").alias("a"), F.col("pos").alias("b"))
     found = marked.filter("whole").select("row_no", "a", "b").unionByName(single)
     cuts = stage(found.groupBy("row_no").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("row_no", "x.a", "x.b"), "words-cuts")
     scratch.clear()
