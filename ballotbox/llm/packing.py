@@ -89,6 +89,32 @@ def encoder(path: str):
     return Sentences(Encoder(ids_of))
 
 
+#: The same characters as code points, for texts that are split at every space.
+_STOPS, _CLOSERS = np.array([ord(c) for c in ".!?…。！？"], np.uint32), frozenset(ord(c) for c in "\"'”’»)]")
+
+
+def sentence_units(text: str, parts: list[str]) -> np.ndarray:
+    """Indices of the units in which a sentence ends, rising; one may come twice."""
+    if len(parts) != text.count(" ") + 1:
+        ends = np.fromiter([m.end() for m in SENTENCE_END.finditer(text)], np.int64)
+        return np.searchsorted(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1), ends)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    spaces = np.flatnonzero(codes == 32)
+    before = codes[spaces - 1]  # a text of this kind doesn't begin with a space
+    ended = np.zeros(len(spaces), bool)
+    for c in _STOPS:
+        ended |= before == c
+    for k in np.flatnonzero((before < 128) & ((before == 34) | (before == 39) | (before == 41) | (before == 93)) | (before == 0x201D) | (before == 0x2019) | (before == 0xBB)).tolist():
+        at = int(spaces[k]) - 2
+        while at >= 0 and int(codes[at]) in _CLOSERS:
+            at -= 1
+        ended[k] = at >= 0 and codes[at] in _STOPS
+    out = np.flatnonzero(ended)
+    if "\n" in text:
+        out = np.sort(np.concatenate([out, np.searchsorted(spaces, np.flatnonzero(codes == 10))]))
+    return out
+
+
 class Sentences:
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
@@ -99,10 +125,8 @@ class Sentences:
         parts = units(text)
         got = [self.encoder.first[parts[0]], *map(self.encoder.later.__getitem__, parts[1:])]
         n = len(parts)
-        ends = np.fromiter([m.end() for m in SENTENCE_END.finditer(text)], np.int64)
-        # the unit in which a sentence ends, then the tokens up to that unit's end
-        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
-        at = np.unique(np.searchsorted(stops, ends))
+        # the units in which sentences end, then the tokens up to those units' ends
+        at = np.unique(sentence_units(text, parts))
         tokens = np.cumsum(np.fromiter(map(len, got), np.int64, n)) // 4
         return b"".join(got), tokens[at[at < n]].tolist()
 

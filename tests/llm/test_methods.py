@@ -288,3 +288,19 @@ def test_large_ids_beside_null_ones(spark):
     assert ids(packing.pack(df, P.path("byte_bpe_50k.json"))) == every
     assert ids(syncmers.edited_fingerprints(df)) == every
     assert {r.doc_id: r.n_words_removed for r in line_dedup.dedup_passages(df).collect()} == {big: 0, None: 0, big + 2: 60, big + 4: 60}
+
+
+def test_sentence_units_by_pattern():
+    """The units in which sentences end, by the pattern over the text."""
+    import re
+
+    from ballotbox.llm import packing, units
+
+    r = random.Random(9)
+    for _ in range(4000):
+        t = "".join(r.choice(["a", "bc", ".", "!", "?", "…", "。", '"', "'", "”", ")", "]", "»", " ", " ", "\n", "é"]) for _ in range(r.randrange(1, 25)))
+        parts = units.units(t)
+        stops = np.cumsum([len(p) + 1 for p in parts])
+        ends = [m.end() for m in re.finditer(r"[.!?…。！？][\"'”’»)\]]*(?= )|\n", t)]
+        want = sorted({int(np.searchsorted(stops, e)) for e in ends})
+        assert np.unique(packing.sentence_units(t, parts)).tolist() == want, repr(t)
