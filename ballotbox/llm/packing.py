@@ -36,6 +36,8 @@ CUT_SENTENCE, CUT_INSIDE = 1.5, 24.0
 #: Where a unit ends a sentence: a stop and closing quotes or brackets before a space, or a line end (the unit that holds it).
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?= )|\n")
 SPECIAL = "<|endoftext|>"
+#: Units kept in each of two generations, some 200 bytes each: the more, the fewer are encoded again, and the larger a Python worker.
+TABLE = 700_000
 
 
 def read_file(path: str) -> dict:
@@ -67,7 +69,7 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
 
 
 @lru_cache(2)
-def encoder(path: str):
+def encoder(path: str, table: int = TABLE):
     """text -> (ids as bytes, token offsets of sentence ends), as the tokenizers library encodes it without adding special tokens.
 
     Units of Latin letters are encoded by merge rank where the file allows it (the same ids, ten times as fast); others, and all
@@ -86,7 +88,7 @@ def encoder(path: str):
     def ids_of(text: str) -> list[int]:
         return quick(text) if quick and (text.isascii() or max(text) < "\u0250") else own.encode(text, add_special_tokens=False).ids
 
-    return Sentences(Encoder(ids_of))
+    return Sentences(Encoder(ids_of, table))
 
 
 #: The same characters as code points, for texts that are split at every space.
@@ -169,12 +171,12 @@ def cut(positions: list[int], penalties: list[float], size: int = SIZE) -> list[
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(path: str, size: int, closing: int, block: int):
+def _pack(path: str, size: int, closing: int, block: int, table: int = TABLE):
     end_bytes = np.asarray([closing], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("packing", encoder.cache_clear)
-        encode = encoder(path)
+        encode = encoder(path, table)
         sequence = TaskContext.get().partitionId() << 32
         # the open stream: (doc_id, tokens of the document, its ids from ``start`` on, start, sentence ends from start on)
         open_: list[list] = []
@@ -249,12 +251,12 @@ def _reach(positions: list[int], penalties: list[float], to: int, penalty: float
         penalties.append(penalty)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, closing: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, closing: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, table: int = TABLE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer``: the path of a tokenizers file, readable on every executor; ``closing``: the id that ends each document.
+    ``tokenizer``: the path of a tokenizers file, readable on every executor; ``closing``: the id that ends each document; ``table``: see ``TABLE``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(source, _pack(tokenizer, size, closing, block), _PIECE)
+    return map_rows(source, _pack(tokenizer, size, closing, block, table), _PIECE)
 
 

@@ -62,9 +62,9 @@ def id_bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts unit by unit; ``joined`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, ids_of):
-        self.first = Kept(lambda u: id_bytes(ids_of(u)))
-        self.later = Kept(lambda u: id_bytes(ids_of(" " + u)))
+    def __init__(self, ids_of, most: int = 150_000):
+        self.first = Kept(lambda u: id_bytes(ids_of(u)), most)
+        self.later = Kept(lambda u: id_bytes(ids_of(" " + u)), most)
 
     def pieces(self, text: str) -> list[bytes]:
         parts = units(text)
