@@ -21,6 +21,8 @@ from ballotbox.llm.queries import table
 
 #: Texts that a Python worker gets at once: its memory, not the result, depends on it.
 BATCH = 1000
+#: Units that a worker's encoder keeps: it shares the executor with what four stages have left in the JVM.
+TABLE = 150_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -56,7 +58,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), table=TABLE)
 
 
 STAGES = [("quality", good), ("toxicity", civil), ("exact dedup", distinct), ("n-gram join", unlike), ("packing", packed)]
