@@ -281,11 +281,11 @@ def repeated_words(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     suspects = scratch.stage(entries.join(again, "fp", "left_semi"), "words-suspects")
     discard(entries)
     firsts = scratch.stage(flat(suspects.groupBy("fp", "body").agg(F.min(order("a")).alias("first")), "fp", "body"), "words-firsts")
-    kinds = firsts.groupBy("fp").agg(F.count("*").alias("kinds"))
+    kinds = scratch.stage(firsts.groupBy("fp").agg(F.count("*").alias("kinds")), "words-kinds")
     known = scratch.stage(firsts.join(kinds, "fp"), "words-known")
     met = suspects.join(known, ["fp", "body"]).withColumn("whole", later("a"))
     marked = scratch.stage(met.filter(F.col("whole") | (F.col("kinds") > 1) | (F.col("b") - F.col("a") >= least)).select("row_no", "doc_id", "fp", "a", "b", "whole"), "words-marked")
-    for done in (again, suspects, firsts, known):
+    for done in (again, suspects, firsts, kinds, known):
         discard(done)
     # a row's entries are bounded by its words
     asked = scratch.stage(marked.filter("not whole").groupBy("row_no").agg(F.collect_list(F.struct("a", "b", "fp")).alias("x")).select("row_no", "x.a", "x.b", "x.fp"), "words-asked")
