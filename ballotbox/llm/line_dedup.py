@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, Scratch, claim, discard, framed, ids_of, keep_matching, map_rows, sized, small, stage
+from ._common import WHITE, Scratch, claim, discard, framed, ids_of, keep_matching, map_rows, sized, stage
 
 LEAST_WORDS = 50
 #: Texts are hashed in groups of so many bytes, longer ones alone.
@@ -139,15 +139,15 @@ def _cut(run, kind: str):
     return cut(F.when(F.col("a").isNotNull(), F.col("text")), "a", "b")
 
 
-def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``rows`` with ``a`` and ``b`` of the staged ``cuts(row_no, a, b)``, null where there are none. Only texts that lose something are
-    shuffled, as long as their numbers may be broadcast."""
-    touched = cuts.select("row_no")
-    if not small(touched):
-        return rows.join(cuts, "row_no", "left")
-    touched = F.broadcast(touched)
-    alone = rows.join(touched, "row_no", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in "ab"})
-    return alone.unionByName(rows.join(touched, "row_no", "left_semi").join(cuts, "row_no"))
+def _without(rows: DataFrame, cuts: DataFrame, run, kind: str, *more: Column) -> DataFrame:
+    """The result for ``rows`` and the staged ``cuts(row_no, a, b)``. Only texts that lose something are shuffled, as long as their numbers may be broadcast; what is left of them is
+    staged, so Python gets them in small batches."""
+    ids = sized(cuts.select("row_no"))
+    lost = rows.join(ids, "row_no", "left_semi").join(cuts, "row_no").withColumn("x", _cut(run, kind))
+    lost = stage(_told(lost, *more), "lines-lost")
+    struct = ",".join(x.replace(" ", ":", 1) for x in kind.split(", "))
+    whole = rows.join(ids, "row_no", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in "ab"} | {"x": F.lit(None).cast(f"struct<{struct}>")})
+    return _told(whole, *more).unionByName(lost)
 
 
 def _told(met: DataFrame, *more: Column) -> DataFrame:
@@ -165,7 +165,7 @@ def _told(met: DataFrame, *more: Column) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, removed (0-based line numbers, comma-separated), text (what is left)."""
     rows = numbered(docs, id_col, text_col)
-    return _told(_with_cuts(rows, repeated_lines(rows, least)).withColumn("x", _cut(without_lines, "lines array<int>, text string")))
+    return _without(rows, repeated_lines(rows, least), without_lines, "lines array<int>, text string")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -323,5 +323,5 @@ def without_words(text: str, a: list[int], b: list[int], least: int) -> tuple[li
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """The columns of :func:`dedup_lines` for repeats of any ``least`` words, and n_words_removed (those of removed lines included)."""
     rows = numbered(docs, id_col, text_col)
-    met = _with_cuts(rows, repeated_words(rows, least)).withColumn("x", _cut(lambda t, x, y: without_words(t, x, y, least), "lines array<int>, words long, text string"))
-    return _told(met, F.coalesce("x.words", F.lit(0)).cast("long").alias("n_words_removed"))
+    words = F.coalesce("x.words", F.lit(0)).cast("long").alias("n_words_removed")
+    return _without(rows, repeated_words(rows, least), lambda t, x, y: without_words(t, x, y, least), "lines array<int>, words long, text string", words)
