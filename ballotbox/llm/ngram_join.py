@@ -19,7 +19,9 @@ linked yet are indexed anew by combinations of one token more, as far as ``k (D
 Groups of one key are never expanded into all pairs. Each member meets the group's least node; what links there
 becomes one component. Of groups of at most ``frequent`` nodes, and of those that can't be extended further, members
 outside the main component then meet the other components' members, if sizes and parity maps (proven lower bounds
-of the symmetric difference) allow a link. Every candidate is verified on the whole sets, so the components
+of the symmetric difference) allow a link. Two members that share many groups of a step meet where the least key is: a member carries the ``BEFORE``
+open keys before each of its own, and the join rejects two that share one of those, since there they have met, are left to the next step, or are
+of one component. Every candidate is verified on the whole sets, so the components
 are exactly those of the link graph.
 
 Defined results: null, empty and wordless texts have no set, link with nothing and are their own component; a
@@ -46,6 +48,8 @@ MOST_FREQUENT = 1_000_000
 MOST_TOKENS = 4
 #: A task sends its classes after so many tokens; an owner sums up what it holds after as many entries.
 SEGMENT = 4_000_000
+#: Keys that a member carries along: a pair is made some two times with 8; without, as often as it shares keys.
+BEFORE = 8
 LEAST_BITS = 512
 _BITS = [f"b{i}" for i in range(LEAST_BITS // 64)]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -336,6 +340,22 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
 
 
+def crossing_pairs(open_: DataFrame, able: Column, num: int, den: int) -> DataFrame:
+    """Nodes ``(a, b)`` of different components in a group that haven't met: those outside the main component with the others, if sizes and the small parity
+    maps allow a link and no key before this one holds both; the join's condition rejects all others, so they are never rows. ``able``: members that
+    may be left to the next step."""
+    side = open_.withColumn("able", able)
+    one = side.filter("comp <> main").select("key", F.col("node").alias("a"), "pivot", *[F.col(c).alias(f"{c}_a") for c in ("comp", "n", "able", "before", *_BITS)])
+    two = side.select("key", F.col("node").alias("b"), "main", *[F.col(c).alias(f"{c}_b") for c in ("comp", "n", "able", "before", *_BITS)])
+    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+    maps = odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    new = (F.col("comp_a") != F.col("comp_b")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & ~(F.col("able_a") & F.col("able_b"))
+    first = ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False))  # null at the beginning of a list only
+    return one.hint("merge").join(two, "key").filter(new & once & sizes & maps & first).select("a", "b")
+
+
 def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, h1, h2, n, digest)``, and for digests of sets with copies or links ``(digest, component_id, least_digest)``; both staged."""
     if 5 * num < 4 * den or num >= den:
@@ -417,27 +437,21 @@ def link_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
         return linked(near(scratch.stage(pairs, "ngram-stars")))
 
     def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Staged members of groups of three or more that hold several components, with the component of most of its members as ``main``."""
+        """Staged members of groups of three or more that hold several components, with the component of most of its members as ``main``
+        and each member's open keys before this one."""
         placed = scratch.stage(members.filter("size > 2").join(labels, "node", "left").select("key", "node", "pivot", "size", F.coalesce("comp", "node").alias("comp")), "ngram-placed")
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
         main = scratch.stage(counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("key", F.col("top.comp").alias("main")), "ngram-main")
-        out = scratch.stage(placed.join(main.hint("merge"), "key").join(made.select("node", "n", *_BITS), "node"), "ngram-open")
+        own = Window.partitionBy("node").orderBy("key")
+        before = F.array(*[F.lag("key", i).over(own) for i in range(1, BEFORE + 1)])
+        out = scratch.stage(placed.join(main.hint("merge"), "key").join(made.select("node", "n", *_BITS), "node").withColumn("before", before), "ngram-open")
         for done in (placed, main):
             discard(done)
         return out
 
     def crossing(open_: DataFrame, able: Column) -> DataFrame:
-        """Staged pairs of different components in a group that haven't met: those outside the main component with the others, if sizes and the small parity
-        maps allow a link; the join's condition rejects all others, so they are never rows. ``able``: members that may be left to the next step."""
-        side = open_.withColumn("able", able)
-        one = side.filter("comp <> main").select("key", F.col("node").alias("a"), "pivot", *[F.col(c).alias(f"{c}_a") for c in ("comp", "n", "able", *_BITS)])
-        two = side.select("key", F.col("node").alias("b"), "main", *[F.col(c).alias(f"{c}_b") for c in ("comp", "n", "able", *_BITS)])
-        sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-        odd = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
-        maps = odd * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-        once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
-        new = (F.col("comp_a") != F.col("comp_b")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & ~(F.col("able_a") & F.col("able_b"))
-        met = one.hint("merge").join(two, "key").filter(new & once & sizes & maps)
+        """Staged pairs of different components in a group that haven't met."""
+        met = crossing_pairs(open_, able, num, den)
         return scratch.stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-crossing")
 
     def labelled(links: list[DataFrame]) -> DataFrame:

@@ -304,3 +304,39 @@ def test_sentence_units_by_pattern():
         ends = [m.end() for m in re.finditer(r"[.!?…。！？][\"'”’»)\]]*(?= )|\n", t)]
         want = sorted({int(np.searchsorted(stops, e)) for e in ends})
         assert np.unique(packing.sentence_units(t, parts)).tolist() == want, repr(t)
+
+
+@pytest.mark.parametrize("frequent", [32, 4])
+def test_pairs_meet_where_their_first_common_key_is(spark, monkeypatch, frequent):
+    """Long documents of one family, few of which link, share hundreds of keys: each pair is made a few times at most and no link is lost."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(2600)]
+
+    def edited(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    family = [edited(base, 80) for _ in range(12)]
+    family += [edited(family[9], 8), edited(family[10], 8)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in family]
+    expected = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+                expected = [min(expected[a], expected[b]) if x in (expected[a], expected[b]) else x for x in expected]
+    assert len(set(expected)) == 12
+    made, pairs_of = [], ngram_join.crossing_pairs
+
+    def counted(*args):
+        out = pairs_of(*args)
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "crossing_pairs", counted)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(family)], "doc_id long, text string")
+    got = ngram_join.link_components(df, 3, 90, 100, frequent=frequent).collect()
+    assert [x.component_id for x in sorted(got)] == expected
+    rows, pairs = (sum(x) for x in zip(*made, strict=True))
+    assert pairs >= 50 and rows <= 4 * pairs
