@@ -184,6 +184,10 @@ def h2b_whole_results(spark, sf_dir):
 _DOWN = "CASE WHEN greatest(width, height) > 2000 THEN greatest(1, CAST(trunc({0} * (2000.0::DOUBLE / greatest(width, height))) AS INT)) ELSE {0} END"
 
 
+#: Images that a scan's task gets, some 7500 bytes each.
+IMAGES_A_TASK = 2000
+
+
 class Whole:
     """An engine that finds the image itself, with the size that it was given as payload."""
 
@@ -199,6 +203,9 @@ def b1_auto_scan(spark, sf_dir):
     """Downscaled before the engine, back in the original's pixels after it, box and polygon."""
     k = F.col("p_partkey")
     images = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"), (1 + k * 7919 % 6000).cast("int").alias("width"), (1 + k % 4).cast("int").alias("height"))
+    # a small table may be one partition: dealt out before there are pixels, images of a size to one task, one after another
+    parts = max(spark.sparkContext.defaultParallelism, -(-images.count() // IMAGES_A_TASK))
+    images = images.repartition(parts, "width").sortWithinPartitions("width")
     content = F.concat(F.format_string("P5\n%d %d\n255\n", "width", "height"), F.repeat(F.lit("x"), F.col("width") * F.col("height")))
     out = Scanner(Whole(), preprocess="auto").scan(images.withColumn("content", F.encode(content, "ISO-8859-1")))
     d = F.col("detections")[0]

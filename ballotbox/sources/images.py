@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -153,29 +154,38 @@ def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+#: Weights of longer rows are not kept.
+LONG = 1 << 16
+
+
+@lru_cache(4)
+def _taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each tap and each of ``m`` pixels made of ``n``: the source pixel and its weight. Images of a size mostly come together, so a few are kept."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    centre = (np.arange(m) + 0.5) * scale
+    first = np.maximum(0, (centre - 3 * wide + 0.5).astype(int))
+    end = np.minimum(n, (centre + 3 * wide + 0.5).astype(int))
+    at = first[:, None] + np.arange((end - first).max())
+    x = (at - centre[:, None] + 0.5) / wide
+    weight = np.where((at < end[:, None]) & (np.abs(x) < 3), np.sinc(x) * np.sinc(x / 3), 0)
+    weight /= weight.sum(1, keepdims=True)
+    return np.ascontiguousarray(np.minimum(at, n - 1).T), np.ascontiguousarray(weight.T.astype(np.float32))
+
+
 def shrunk(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Lanczos filter of three lobes over source pixels, columns first, 8 bits after each pass."""
 
-    def taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        scale = n / m
-        wide = max(scale, 1.0)
-        centre = (np.arange(m) + 0.5) * scale
-        first = np.maximum(0, (centre - 3 * wide + 0.5).astype(int))
-        end = np.minimum(n, (centre + 3 * wide + 0.5).astype(int))
-        at = first[:, None] + np.arange((end - first).max())
-        x = (at - centre[:, None] + 0.5) / wide
-        weight = np.where((at < end[:, None]) & (np.abs(x) < 3), np.sinc(x) * np.sinc(x / 3), 0)
-        return np.minimum(at, n - 1), weight / weight.sum(1, keepdims=True)
-
-    def columns(p: np.ndarray, m: int) -> np.ndarray:
-        at, weight = taps(p.shape[1], m)
-        out = np.zeros((p.shape[0], m, p.shape[2]), np.float32)
-        for k in range(at.shape[1]):
-            out += p[:, at[:, k]] * weight[None, :, k, None].astype(np.float32)
-        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
-
-    across = columns(pixels, width) if width != pixels.shape[1] else pixels
-    return columns(across.swapaxes(0, 1), height).swapaxes(0, 1) if height != pixels.shape[0] else across
+    def rows(p: np.ndarray, m: int) -> np.ndarray:
+        at, weight = (_taps if len(p) <= LONG else _taps.__wrapped__)(len(p), m)
+        flat = np.ascontiguousarray(p).reshape(len(p), -1)
+        out = np.zeros((m, flat.shape[1]), np.float32)
+        for own, w in zip(at, weight, strict=True):
+            out += flat.take(own, 0) * w[:, None]
+        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8).reshape(m, *p.shape[1:])
+
+    across = rows(pixels.swapaxes(0, 1), width).swapaxes(0, 1) if width != pixels.shape[1] else pixels
+    return rows(across, height) if height != pixels.shape[0] else across
 
 
 def preprocessed(content: bytes, longest: int = LONGEST) -> tuple[bytes, float, float]:
