@@ -19,16 +19,19 @@ from ballotbox.llm._common import stage
 from ballotbox.llm.queries import table
 
 
-#: Texts that a Python worker gets at once: its memory, not the result, depends on it.
-BATCH = 1000
+#: Texts that a Python worker gets at once, texts that a reader decodes at once, and bytes of a row group in what stages write, which its
+#: writer and its reader hold whole, each task one: the memory of workers and heap, not the result, depends on them.
+BATCH, DECODED, ROW_GROUP = 1000, 512, 16 << 20
 #: Units that a worker's encoder keeps: it shares the executor with what four stages have left in the JVM.
 TABLE = 150_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
-        spark.conf.set(name, str(BATCH))
+    """Bounds for the session, as a stage's rows are read and written after its function has ended; smaller ones stay as they are."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.parquet.columnarReaderBatchSize": DECODED, "parquet.block.size": ROW_GROUP}
+    for name, most in bounds.items():
+        if not 0 < int(spark.conf.get(name, "0")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import re
 
 import corpus_pipeline
 import public_tokenizers as P
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ballotbox.llm import quality, toxicity
@@ -103,3 +105,25 @@ def test_run_is_its_stages(spark):
     made = corpus_pipeline.run(spark, SF).collect()
     assert made and sum(r.length for r in docs.collect()) == sum(r.length for r in made)
     assert {r.doc_id for r in docs.select(*key).collect()} == {r.doc_id for r in made}
+
+
+def test_memory_of_a_stage_is_bounded(spark, tmp_path):
+    """A task holds one row group and one decoded batch at once: neither grows with what it reads and writes (46 MB here, in one task)."""
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size")
+    for name in names:
+        spark.conf.unset(name)
+    text = F.concat(*[F.sha2((F.col("doc_id") * 1000 + i).cast("string"), 256) for i in range(180)])
+    docs = spark.range(0, 4000, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    out.write.parquet(str(tmp_path / "out"))
+    groups = [m.row_group(i) for f in (tmp_path / "out").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 4000
+    assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) < 24 << 20
+    assert int(spark.conf.get(names[0])) <= 512
+
+    for name in names:
+        spark.conf.set(name, "100")
+    corpus_pipeline.small_batches(spark)
+    assert [spark.conf.get(name) for name in names] == ["100", "100"]
+    for name in names:
+        spark.conf.unset(name)
